@@ -1,10 +1,13 @@
 """The queries of this subpackage by name, and the SQL of those that SQL can express."""
 
-from tidefold.llm import substring_dedup
+from tidefold.llm import minhash, packing, substring_dedup
 
 QUERIES = {
+    "op2_minhash_near_dedup": minhash.op2,
+    "op4_packing": packing.op4,
     "op8_substring_dedup": substring_dedup.op8,
 }
 SQL = {
+    "op2_minhash_near_dedup": minhash.OP2_SQL,
     "op8_substring_dedup": substring_dedup.OP8_SQL,
 }
