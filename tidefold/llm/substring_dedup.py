@@ -180,7 +180,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for h, x in zip(blobs, group.column("ids").to_pylist()):
             size = len(h) // 8
             sizes.append(size)
-            ids.append(int.from_bytes(x[1:9], "little", signed=True) + np.frombuffer(x, np.uint16, offset=9) if x[0] else np.frombuffer(x, np.int64, offset=1))
+            ids.append(int.from_bytes(x[1:9], "little", signed=True) + np.frombuffer(x, np.uint16, offset=9).astype(np.int64) if x[0] else np.frombuffer(x, np.int64, offset=1))
         h, more, ids = np.frombuffer(b"".join(blobs), np.uint64), _joined(group.column("more"), np.uint32), np.concatenate(ids)
         start = _joined(group.column("start"), np.int64) if many else np.zeros(len(h), np.int64)
         own = np.repeat(np.arange(len(sizes)), sizes)
