@@ -1,6 +1,6 @@
 """The queries of this subpackage by name, and the SQL of those that SQL can express."""
 
-from tidefold.llm import fingerprints, minhash, packing, substring_dedup, url_filters, warc
+from tidefold.llm import chat, fingerprints, minhash, packing, substring_dedup, url_filters, warc
 
 QUERIES = {
     "op1_url_filters": url_filters.op1,
@@ -8,9 +8,11 @@ QUERIES = {
     "op2_minhash_near_dedup": minhash.op2,
     "op4_packing": packing.op4,
     "op3_warc": warc.op3,
+    "op7_chat_formatting": chat.op7,
     "op8_substring_dedup": substring_dedup.op8,
 }
 SQL = {
+    "op7_chat_formatting": chat.OP7_SQL,
     "op3_warc": warc.OP3_SQL,
     "op1_url_filters": url_filters.OP1_SQL,
     "op2_minhash_near_dedup": minhash.OP2_SQL,
