@@ -1,6 +1,6 @@
 """The queries of this subpackage by name, and the SQL of those that SQL can express."""
 
-from tidefold.llm import chat, fingerprints, minhash, packing, substring_dedup, url_filters, warc
+from tidefold.llm import audio, chat, fingerprints, minhash, packing, substring_dedup, url_filters, warc
 
 QUERIES = {
     "op1_url_filters": url_filters.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_warc": warc.op3,
     "op7_chat_formatting": chat.op7,
     "op8_substring_dedup": substring_dedup.op8,
+    "op9_telephony_audio": audio.op9,
 }
 SQL = {
     "op7_chat_formatting": chat.OP7_SQL,
