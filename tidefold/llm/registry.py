@@ -1,6 +1,6 @@
 """The queries of this subpackage by name, and the SQL of those that SQL can express."""
 
-from tidefold.llm import audio, chat, fingerprints, minhash, packing, quality, substring_dedup, url_filters, warc
+from tidefold.llm import audio, chat, fingerprints, minhash, packing, pieces, quality, substring_dedup, url_filters, warc
 
 QUERIES = {
     "op1_url_filters": url_filters.op1,
@@ -8,6 +8,7 @@ QUERIES = {
     "op2_minhash_near_dedup": minhash.op2,
     "op4_packing": packing.op4,
     "op3_warc": warc.op3,
+    "op5_sentencepiece": pieces.op5,
     "op6_quality_classifier": quality.op6,
     "op7_chat_formatting": chat.op7,
     "op8_substring_dedup": substring_dedup.op8,
