@@ -13,10 +13,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tidefold.llm.shared import bucketed, partitions
+from tidefold.llm.shared import bucketed, partitions, read_partitions
 
 BLOCK_BYTES = 6 << 20
 BLOCK_ROWS = 60_000
+MAX_BUCKETS = 100_000
 
 
 def pack(table: pa.Table) -> bytes:
@@ -52,6 +53,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def blocks(df: DataFrame, name: str) -> DataFrame:
-    """A bucketed table (block, n_rows, n_bytes, rows) with all rows and columns of df."""
+    """A bucketed table (block, n_rows, n_bytes, rows) with all rows and columns of df.
+
+    It has as many buckets as shuffles have partitions, or more where df is so large
+    that a bucket would hold more than about four partitions of it.
+    """
+    buckets = min(MAX_BUCKETS, max(partitions(df.sparkSession), read_partitions(df) // 4))
     schema = "block long, n_rows long, n_bytes long, rows binary"
-    return bucketed(df.mapInArrow(_cut, schema), name, "block", partitions(df.sparkSession))
+    return bucketed(df.mapInArrow(_cut, schema), name, "block", buckets)

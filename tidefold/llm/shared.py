@@ -64,6 +64,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def read_partitions(df: DataFrame) -> int:
+    """Into how many partitions Spark will read or compute df, as planned; nothing is run."""
+    return df._jdf.queryExecution().toRdd().getNumPartitions()
+
+
 def apart(column: str):
     """The same number, but not the column itself: a join on it deals both sides anew, which lets Spark split hot keys."""
     return F.col(column).bitwiseXOR(F.lit(0))
