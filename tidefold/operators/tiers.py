@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidefold.operators.fold import live, newest, value_bytes
-from tidefold.plans.model import BLOOM_KEYS, BLOOM_RATE, COMPACTION_TRIGGER, DELETE, MEMTABLE_BYTES, PUT
+from tidefold.plans.model import COMPACTION_TRIGGER, DELETE, MEMTABLE_BYTES, PUT
 
 
 def flush(log: DataFrame) -> DataFrame:
@@ -93,8 +93,8 @@ def exact_runs(log: DataFrame, limit: int = MEMTABLE_BYTES) -> DataFrame:
                 held, total, tid = {}, 0, tid + 1
         return rows.assign(tid=out)[["seq", "tid"]]
 
-    sized = log.select("seq", "k", (F.octet_length("k") + value_bytes(F.col("v")) + 8).cast("long").alias("size"))
-    return sized.groupBy(F.lit(1)).applyInPandas(walk, "seq long, tid long")
+    sized = log.select("seq", "k", (F.octet_length("k") + value_bytes(F.col("v")) + 8).cast("long").alias("size"), F.lit(0).alias("all"))
+    return sized.groupBy("all").applyInPandas(walk, "seq long, tid long")
 
 
 def store_stats(log: DataFrame) -> DataFrame:
@@ -106,6 +106,3 @@ def store_stats(log: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("tid") == F.col("last"), size)), F.lit(0)).alias("memtable_size"), F.count_distinct(F.when(F.col("tid") < F.col("last"), F.col("tid"))).alias("num_sstables")
     )
     return tiers.join(F.broadcast(merge_stats(runs).select("keys_removed", "bytes_reclaimed")))
-
-
-DEFAULT_FILTER = (BLOOM_KEYS, BLOOM_RATE)
