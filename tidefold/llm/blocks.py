@@ -7,8 +7,9 @@ shuffle, and what belongs to it is sent to it by its number alone.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -31,7 +32,7 @@ def unpack(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(blob).read_all()
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId() << 32
     held: list[pa.RecordBatch] = []
     size = rows = n = 0
@@ -40,10 +41,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_pydict({"block": pa.array([part + n], pa.int64()), "n_rows": pa.array([rows], pa.int64()), "n_bytes": pa.array([size], pa.int64()), "rows": pa.array([pack(pa.Table.from_batches(held))], pa.binary())})
 
     for batch in batches:
-        step = max(1, min(BLOCK_ROWS // 8, int(batch.num_rows * (BLOCK_BYTES // 8) / max(batch.nbytes, 1))))
+        step = max(1, min(BLOCK_ROWS // 8, int(batch.num_rows * (most // 8) / max(batch.nbytes, 1))))
         for at in range(0, batch.num_rows, step):
             piece = batch.slice(at, step)
-            if held and (size + piece.nbytes > BLOCK_BYTES or rows + piece.num_rows > BLOCK_ROWS):
+            if held and (size + piece.nbytes > most or rows + piece.num_rows > BLOCK_ROWS):
                 yield out()
                 held, size, rows, n = [], 0, 0, n + 1
             held.append(piece)
@@ -52,12 +53,44 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def blocks(df: DataFrame, name: str) -> DataFrame:
-    """A bucketed table (block, n_rows, n_bytes, rows) with all rows and columns of df.
+def blocks(df: DataFrame, name: str, most: int = BLOCK_BYTES) -> DataFrame:
+    """A bucketed table (block, n_rows, n_bytes, rows) with all rows and columns of df, `most` bytes a block.
 
     It has as many buckets as shuffles have partitions, or more where df is so large
     that a bucket would hold more than about four partitions of it.
     """
     buckets = min(MAX_BUCKETS, max(partitions(df.sparkSession), read_partitions(df) // 4))
     schema = "block long, n_rows long, n_bytes long, rows binary"
-    return bucketed(df.mapInArrow(_cut, schema), name, "block", buckets)
+    return bucketed(df.mapInArrow(lambda it: _cut(it, most), schema), name, "block", buckets)
+
+
+def split(h: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
+    """(bucket, from, to) of sorted hashes, cut by their upper bits."""
+    at = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    cuts = np.flatnonzero(np.diff(at, prepend=at[:1] + np.uint64(1))) if len(at) else []
+    return [(int(at[i]), int(i), int(j)) for i, j in zip(cuts, [*cuts[1:], len(h)])]
+
+
+def across_blocks(held: DataFrame, hashes: Callable[[pa.Table], np.ndarray], buckets: int) -> DataFrame:
+    """(block, h): for each block those of its hashes that other blocks have too, packed as 64-bit numbers.
+
+    A block sends each of its different hashes once, so one that is everywhere brings
+    as many entries into its bucket as there are blocks.
+    """
+    def send(batches):
+        for batch in batches:
+            for block, blob in zip(batch.column("block").to_pylist(), batch.column("rows").to_pylist()):
+                h = hashes(unpack(blob))
+                h = np.unique(h[np.diff(h, prepend=h[:1] ^ np.uint64(1)) != 0])
+                cut = split(h, buckets)
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array([c[0] for c in cut], pa.int64()), "block": pa.array([block] * len(cut), pa.int64()), "h": pa.array([h[i:j].tobytes() for _, i, j in cut], pa.binary())})
+
+    def in_two(group: pa.Table) -> pa.Table:
+        blobs = [np.frombuffer(x, np.uint64) for x in group.column("h").to_pylist()]
+        values, counts = np.unique(np.concatenate(blobs), return_counts=True)
+        values = values[counts > 1]
+        kept = [np.intersect1d(x, values, assume_unique=True).tobytes() for x in blobs]
+        return pa.table({"block": group.column("block").cast(pa.int64()), "h": pa.array(kept, pa.binary())}).filter(pa.array([bool(k) for k in kept], pa.bool_()))
+
+    sent = held.select("block", "rows").mapInArrow(send, "bucket long, block long, h binary")
+    return sent.groupBy("bucket").applyInArrow(in_two, "block long, h binary")

@@ -20,7 +20,7 @@ def _with_least(edges: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) for every node that has an edge to another node; component is the least node reachable.
+    """(node, component) for every node from which a lesser one can be reached; component is the least of these.
 
     Edges with a null end or with equal ends are ignored; repeated edges count once.
     Each step is written to the shared folder, so the plan never grows with the

@@ -6,10 +6,13 @@
 2. Bands of four minima put likely partners into buckets. In each bucket every
    member is paired with one pivot, never with all others. A pair is looked at
    closer if its signatures agree, and becomes a link if the full shingle sets do.
-3. Links are joined to components. Buckets whose members are still in more than
-   one component get further pivots, those of the smallest components first, until
-   every member has met each pivot from another component or shares its component.
-   So no link is lost by pairing with pivots alone.
+3. Links are joined to components. In buckets whose members are still in more than
+   one component, the members outside the largest are held against all others by full
+   sets, in cells of bounded size. So no link is lost by pairing with pivots alone.
+
+Before 2, members that can't have a partner in their bucket go: a link needs common
+shingles in proportion to both sets' sizes, and no more can be common than a text has
+shingles that any other text in the buckets has.
 """
 
 from __future__ import annotations
@@ -24,12 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidefold.llm import words as W
+from tidefold.llm.blocks import BLOCK_BYTES, across_blocks, blocks, unpack
 from tidefold.llm.components import components
 from tidefold.llm.shared import apart, table, written
 
 ROWS_PER_BAND = 4
 MISS = 1e-7
-SLOTS = 16
+OWN_ROWS, VISITORS = 128, 512
+CELL_SHINGLES = 200_000
+BUCKET_ENTRIES = 1 << 18
 
 
 def n_bands(percent: int) -> int:
@@ -94,34 +100,80 @@ def _agree(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
         yield batch.select([0, 1]).filter(pa.array((x == y).mean(axis=1) >= least)) if batch.num_rows else batch.select([0, 1])
 
 
-def _verify(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
+def _sets(squeezed: list[bytes], k: int) -> list[np.ndarray]:
+    """The sorted shingle sets of compressed texts."""
     un = zstandard.ZstdDecompressor()
+    out: list[np.ndarray] = []
+    held: list[bytes] = []
+    size = 0
+    for i, z in enumerate(squeezed):
+        held.append(un.decompress(z))
+        size += len(held[-1])
+        if size >= W.PIECE or i == len(squeezed) - 1:
+            s, to = _shingles(*W.hash_texts(held, True), k)
+            out += [np.unique(s[to[j] : to[j + 1]]) for j in range(len(held))]
+            held, size = [], 0
+    return out
+
+
+def _verify(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            a, b, za, zb = (part.column(i).to_pylist() for i in range(4))
+            za, zb = part.column(2).to_pylist(), part.column(3).to_pylist()
             texts = list({*za, *zb})
-            sets: dict[bytes, np.ndarray] = {}
-            size, first = 0, 0
-            plain = [un.decompress(z) for z in texts]
-            for i, x in enumerate(plain):
-                size += len(x)
-                if size >= W.PIECE or i == len(plain) - 1:
-                    s, to = _shingles(*W.hash_texts(plain[first : i + 1], True), k)
-                    for j in range(first, i + 1):
-                        sets[texts[j]] = np.unique(s[to[j - first] : to[j - first + 1]])
-                    size, first = 0, i + 1
+            sets = dict(zip(texts, _sets(texts, k)))
             linked = []
             for x, y in zip(za, zb):
                 p, q = sets[x], sets[y]
-                if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
-                    linked.append(False)
-                    continue
                 both = len(p) + len(q) - len(np.unique(np.concatenate([p, q])))
                 linked.append(100 * both >= percent * (len(p) + len(q) - both))
             yield part.select([0, 1]).filter(pa.array(linked, pa.bool_()))
 
 
+def _shared_counts(k: int):
+    """(id, size, shared): of a text's set, how many shingles another text has too."""
+    def count(key, block: pa.Table, known: pa.Table) -> pa.Table:
+        ids, sizes, shared = [], [], []
+        if block.num_rows:
+            rows = unpack(block.column("rows")[0].as_py())
+            ids, sets = rows.column("id").to_pylist(), _sets(rows.column("z").to_pylist(), k)
+            values, counts = np.unique(np.concatenate(sets), return_counts=True)
+            common = counts > 1
+            elsewhere = np.frombuffer(b"".join(known.column("h").to_pylist()), np.uint64)
+            common[np.searchsorted(values, elsewhere)] = True
+            sizes = [len(s) for s in sets]
+            shared = [int(common[np.searchsorted(values, s)].sum()) for s in sets]
+        return pa.table({"id": pa.array(ids, pa.int64()), "size": pa.array(sizes, pa.int64()), "shared": pa.array(shared, pa.int64())})
+
+    return count
+
+
+def _cell(k: int, percent: int):
+    """Links between a cell's visitors and its own rows that are in different components."""
+    def links(cell: pa.Table) -> pa.Table:
+        ids, comps, guest = (cell.column(c).to_numpy() for c in ("id", "comp", "guest"))
+        out: list[tuple[int, int]] = []
+        own = np.flatnonzero(~guest)
+        if len(own) and guest.any():
+            sets = _sets(cell.column("z").to_pylist(), k)
+            sizes = np.array([len(s) for s in sets])
+            values = np.concatenate([sets[i] for i in own])
+            holder = np.repeat(np.arange(len(own)), sizes[own])
+            order = np.argsort(values, kind="stable")
+            values, holder = values[order], holder[order]
+            for i in np.flatnonzero(guest):
+                lo, hi = np.searchsorted(values, sets[i]), np.searchsorted(values, sets[i], side="right")
+                n = hi - lo
+                at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                both = np.bincount(holder[at], minlength=len(own))
+                hit = (100 * both >= percent * (sizes[own] + sizes[i] - both)) & (comps[own] != comps[i])
+                out += [(min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))) for j in own[hit]]
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return links
+
+
 def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     to = zstandard.ZstdCompressor(level=1)
     for batch in batches:
@@ -146,42 +198,52 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = base.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
 
     rows = reps.select("id", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").select(apart("key").alias("k"), "pivot")
-    members = written(rows.join(shared, F.col("key") == F.col("k")).select("key", "id", "pivot"), "members")
+    shared = rows.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select(apart("key").alias("k"))
+    members = written(rows.join(shared, F.col("key") == F.col("k"), "left_semi"), "members")
     wanted = written(reps.select("id", "sig").join(members.select("id").distinct(), "id", "left_semi"), "signatures")
     texts = written(docs.mapInArrow(_squeezed, "id long, z binary").join(wanted.select("id"), "id", "left_semi"), "texts")
 
+    held = blocks(texts, "near", BLOCK_BYTES // 4)
+    total = base.agg(F.sum("n_shingles")).first()[0] or 0
+    elsewhere = across_blocks(held, lambda t: np.concatenate(_sets(t.column("z").to_pylist(), k)), max(1, total // 4 // BUCKET_ENTRIES + 1))
+    counts = held.select("block", "rows").groupBy("block").cogroup(elsewhere.groupBy("block")).applyInArrow(_shared_counts(k), "id long, size long, shared long")
+    # of rows with the same id the most favourable count
+    counts = written(counts.groupBy("id").agg(F.min("size").alias("size"), F.max(F.expr(f"shared * {100 + percent} div {percent}") - F.col("size")).alias("room")), "counts")
+    members = members.join(counts, "id")
+    for _ in range(2):
+        members = written(members.select("key", "id", "size", "room"), "members")
+        fit = members.groupBy("key").agg(F.min("size").alias("least"), F.max("room").alias("most"), F.count("*").alias("n")).where("n > 1")
+        fit = fit.select(apart("key").alias("k"), "least", "most", "n")
+        members = members.join(fit, F.col("key") == F.col("k")).where("room >= least AND size <= most")
+    members = written(members.select("key", "id", "size", "n"), "live")
+
+    degree = members.groupBy("id").agg(F.sum("n").alias("degree"))
+    ranked = members.join(degree, "id").groupBy("key").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("pivot")).select(apart("key").alias("k"), "pivot")
+    pairs = members.join(ranked, F.col("key") == F.col("k")).where("id <> pivot")
+    pairs = written(pairs.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(), "pairs")
+
     n, t = bands * ROWS_PER_BAND, percent / 100
     least = t - 6.5 * math.sqrt(t * (1 - t) / n)
 
-    def links(pairs: DataFrame, name: str) -> DataFrame:
-        def both(left: DataFrame, right: DataFrame, c: str) -> DataFrame:
-            return left.join(right.select(F.col("id").alias("a"), F.col(c).alias("x")), "a").join(right.select(F.col("id").alias("b"), F.col(c).alias("y")), "b").select("a", "b", "x", "y")
-
-        likely = both(pairs, wanted, "sig").mapInArrow(lambda it: _agree(it, least), "a long, b long")
-        return written(both(written(likely, f"{name}_likely"), texts, "z").mapInArrow(lambda it: _verify(it, k, percent), "a long, b long").distinct(), name)
-
-    tested = written(members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    edges = links(tested, "links")
-    done = None
-    left = members.select("key", "id")
-    while True:
-        comps = components(edges)
-        now = left.join(comps, left.id == comps.node, "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
-        mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(apart("key").alias("k"))
-        open_ = written(now.join(mixed, F.col("key") == F.col("k"), "left_semi"), "open")
-        if open_.isEmpty():
-            break
-        by_comp = open_.groupBy("key", "comp").agg(F.count("*").alias("n"), F.min("id").alias("p"))
-        pivots = written(
-            by_comp.groupBy("key", F.pmod(F.xxhash64("comp"), F.lit(SLOTS)).alias("slot")).agg(F.min(F.struct("n", "comp", "p")).alias("s"))
-            .select("key", F.col("s.comp").alias("pcomp"), F.col("s.p").alias("p")), "pivots"
-        )
-        pairs = open_.join(pivots, "key").where("comp <> pcomp").select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")).distinct()
-        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        edges = written(edges.union(links(pairs, "links")), "all_links")
-        tested = tested.union(pairs)
-        left = written(open_.select("key", "id").join(pivots.select("key", F.col("p").alias("id")), ["key", "id"], "left_anti"), "left")
+    def both(left: DataFrame, right: DataFrame, c: str) -> DataFrame:
+        return left.join(right.select(F.col("id").alias("a"), F.col(c).alias("x")), "a").join(right.select(F.col("id").alias("b"), F.col(c).alias("y")), "b").select("a", "b", "x", "y")
+
+    likely = written(both(pairs, wanted, "sig").mapInArrow(lambda it: _agree(it, least), "a long, b long"), "likely")
+    edges = written(both(likely, texts, "z").mapInArrow(lambda it: _verify(it, k, percent), "a long, b long").distinct(), "links")
+
+    comps = components(edges)
+    rows = written(members.join(comps, members.id == comps.node, "left").select("key", "id", "size", F.coalesce("component", "id").alias("comp")), "rows")
+    by_comp = rows.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    mixed = by_comp.groupBy("key").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "comp")).alias("top")).where("top.n < n").select(
+        apart("key").alias("k"), F.greatest(F.ceil(F.col("n") / OWN_ROWS), F.ceil(F.col("size") / CELL_SHINGLES)).cast("int").alias("cells"),
+        F.greatest(F.ceil((F.col("n") - F.col("top.n")) / VISITORS), F.ceil(F.col("size") * (1 - F.col("top.n") / F.col("n")) / CELL_SHINGLES)).cast("int").alias("guests"), F.col("top.comp").alias("main"),
+    )
+    left = rows.join(mixed, F.col("key") == F.col("k")).drop("k", "size").join(texts, "id")
+    i, j = F.pmod(F.xxhash64("id"), F.col("cells")).cast("int"), F.pmod(F.xxhash64(F.lit("guest"), "id"), F.col("guests")).cast("int")
+    own = left.select("key", "id", "comp", "z", i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("guests") - 1)).alias("j"), F.lit(False).alias("guest"))
+    guests = left.where("comp <> main").select("key", "id", "comp", "z", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("i"), j.alias("j"), F.lit(True).alias("guest"))
+    more = own.union(guests).groupBy("key", "i", "j").applyInArrow(_cell(k, percent), "a long, b long")
+    edges = written(edges.union(more.distinct()), "all_links")
 
     found = components(edges)
     by_class = written(

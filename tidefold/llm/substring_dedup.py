@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidefold.llm import words as W
-from tidefold.llm.blocks import blocks, unpack
+from tidefold.llm.blocks import across_blocks, blocks, split, unpack
 from tidefold.llm.shared import table
 
 BUCKET_ENTRIES = 1 << 18
@@ -81,13 +81,6 @@ def _firsts(h: np.ndarray, ids: np.ndarray, start: np.ndarray) -> tuple[np.ndarr
     return first, repeat
 
 
-def _split(h: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
-    """(bucket, from, to) of sorted hashes, cut by their upper bits."""
-    at = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    cuts = np.flatnonzero(np.diff(at, prepend=at[:1] + np.uint64(1))) if len(at) else []
-    return [(int(at[i]), int(i), int(j)) for i, j in zip(cuts, [*cuts[1:], len(h)])]
-
-
 def _joined(col: pa.ChunkedArray, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), dtype)
 
@@ -132,26 +125,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = max(1, int(total / 6 * 0.2 / BUCKET_ENTRIES) + 1)
     many = docs.groupBy(F.col(id_col).alias("k")).count().filter("count > 1").limit(1).count() > 0
 
-    def level_half(batches):
-        for batch in batches:
-            for block, blob in zip(batch.column("block").to_pylist(), batch.column("rows").to_pylist()):
-                t = _Texts(unpack(blob), id_col, text_col)
-                h = t.stand_ins(n, at) if len(at := t.windows(n)) else np.zeros(0, np.uint64)
-                h = np.unique(h[np.diff(h, prepend=h[:1] ^ np.uint64(1)) != 0])
-                cut = _split(h, buckets)
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([c[0] for c in cut], pa.int64()), "block": pa.array([block] * len(cut), pa.int64()), "h": pa.array([h[i:j].tobytes() for _, i, j in cut], pa.binary())})
-
-    def in_two_blocks(group: pa.Table) -> pa.Table:
-        blobs = [np.frombuffer(x, np.uint64) for x in group.column("h").to_pylist()]
-        values, counts = np.unique(np.concatenate(blobs), return_counts=True)
-        values = values[counts > 1]
-        kept = [np.intersect1d(x, values, assume_unique=True).tobytes() for x in blobs]
-        return pa.table({"block": group.column("block").cast(pa.int64()), "h": pa.array(kept, pa.binary())}).filter(pa.array([bool(k) for k in kept], pa.bool_()))
-
-    survivors = (
-        held.select("block", "rows").mapInArrow(level_half, "bucket long, block long, h binary")
-        .groupBy("bucket").applyInArrow(in_two_blocks, "block long, h binary")
-    )
+    def half(rows: pa.Table) -> np.ndarray:
+        t = _Texts(rows, id_col, text_col)
+        return t.stand_ins(n, at) if len(at := t.windows(n)) else np.zeros(0, np.uint64)
+
+    survivors = across_blocks(held, half, buckets)
 
     def level_full(key, left: pa.Table, right: pa.Table) -> pa.Table:
         out: dict[str, list] = {k: [] for k in ("bucket", "block", "h", "more", "ids", "start")}
@@ -166,7 +144,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             h, more, ids, start = h[first], more[first], ids[first], start[first].astype(np.int64)
             base = int(ids.min()) if len(ids) else 0
             narrow = len(ids) and int(ids.max()) - base < 1 << 16
-            for bucket, i, j in _split(h, buckets):
+            for bucket, i, j in split(h, buckets):
                 out["bucket"].append(bucket)
                 out["block"].append(left.column("block")[0].as_py())
                 out["h"].append(h[i:j].tobytes())
