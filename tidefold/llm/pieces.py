@@ -30,6 +30,7 @@ from tidefold.llm.tokens import _Cache
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
+CACHE = 200_000
 
 
 class Transducer:
@@ -57,7 +58,7 @@ class Transducer:
         for b, i in self.bytes.items():
             self.spelled[i] = bytes([b])
         self.spelled[self.unknown] = " ⁇ ".encode()
-        self.pairs, self.stretches, self.words = _Cache(self._passes), _Cache(self._stretch), _Cache(self._word)
+        self.pairs, self.stretches, self.words = (_Cache(make, CACHE) for make in (self._passes, self._stretch, self._word))
 
     def _merged(self, text: str) -> list[str]:
         """What merging makes of a short string: again and again the pair of best score, the first of equals."""

@@ -29,6 +29,7 @@ ORDER = 4
 START = 2
 BROADCAST_ROWS = 1_000_000
 QUANTILE, MARGIN, SHORT = 0.99, 1.25, 100
+SLICE = 1 << 20
 BINS = 200  # of a unit of ln(perplexity)
 TRUST, BLOCK_ROW = "_trusted", "_row"
 
@@ -50,15 +51,30 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return out[keep].view(np.int64), np.concatenate([[0], np.cumsum(lens)])
 
 
+def _slices(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
+    """Runs of texts of about SLICE characters, each with its first one's place."""
+    first = size = 0
+    for i, x in enumerate(texts):
+        size += len(x or "")
+        if size >= SLICE or i == len(texts) - 1:
+            yield first, texts[first : i + 1]
+            first, size = i + 1, 0
+
+
 def _distinct(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block, blob in zip(batch.column("block").to_pylist(), batch.column("rows").to_pylist()):
             rows = unpack(blob)
-            g, bounds = grams(rows.column(text_col).to_pylist())
-            codes, found = pd.factorize(g)
-            trusted = np.repeat(rows.column(TRUST).to_numpy(), np.diff(bounds))
-            n = np.bincount(codes[trusted], minlength=len(found))
-            yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(len(found), block, np.int64)), "g": pa.array(found), "n": pa.array(n.astype(np.int64))})
+            trusted, found, counts = rows.column(TRUST).to_numpy(), [], []
+            for first, texts in _slices(rows.column(text_col).to_pylist()):
+                g, bounds = grams(texts)
+                codes, own = pd.factorize(g)
+                found.append(own)
+                counts.append(np.bincount(codes[np.repeat(trusted[first : first + len(texts)], np.diff(bounds))], minlength=len(own)))
+            if found:
+                codes, own = pd.factorize(np.concatenate(found))
+                n = np.bincount(codes, weights=np.concatenate(counts), minlength=len(own)).astype(np.int64)
+                yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(len(own), block, np.int64)), "g": pa.array(own), "n": pa.array(n)})
 
 
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -110,20 +126,26 @@ def _score(text_col: str, id_col: str, lang_col: str):
         if not held.num_rows:
             return SCORED.empty_table()
         rows = unpack(held.column("rows")[0].as_py())
-        g, bounds = grams(rows.column(text_col).to_pylist())
-        codes, found = pd.factorize(g)
         have, lp = known.column("g").to_numpy(), known.column("lp").to_numpy()
         order = np.argsort(have)
-        at = order[np.searchsorted(have, found, sorter=order)] if len(found) else np.zeros(0, np.int64)
-        if not np.array_equal(have[at], found):
-            raise ValueError("a block's n-grams changed between two readings")
-        sums = np.concatenate([[0.0], np.cumsum(-lp[at][codes])])
-        n = len(bounds) - 1
+        have, lp = have[order], lp[order]
+        sizes, nll = [np.zeros(0, np.int64)], [np.zeros(0)]
+        for _, texts in _slices(rows.column(text_col).to_pylist()):
+            g, bounds = grams(texts)
+            codes, found = pd.factorize(g)
+            at = np.minimum(np.searchsorted(have, found), len(have) - 1)
+            if not np.array_equal(have[at], found):
+                raise ValueError("a block's n-grams changed between two readings")
+            sums = np.concatenate([[0.0], np.cumsum(-lp[at][codes])])
+            sizes.append(np.diff(bounds))
+            nll.append(sums[bounds[1:]] - sums[bounds[:-1]])
+        sizes, nll = np.concatenate(sizes), np.concatenate(nll)
+        n = rows.num_rows
         block = held.column("block")[0].as_py()
         return pa.table({
             "block": pa.array(np.full(n, block, np.int64)), "row": pa.array(np.arange(n)), "id": rows.column(id_col).cast(pa.int64()).combine_chunks(),
             "lang": rows.column(lang_col).cast(pa.string()).combine_chunks(), "trusted": rows.column(TRUST).combine_chunks(),
-            "n": pa.array(np.diff(bounds)), "nll": pa.array(sums[bounds[1:]] - sums[bounds[:-1]]),
+            "n": pa.array(sizes), "nll": pa.array(nll),
         }).cast(SCORED)
 
     return score

@@ -36,14 +36,14 @@ def _ids(ids: list[int]) -> bytes:
 class _Cache(dict):
     """A bounded table of results: when full, what was not used since the last time goes."""
 
-    def __init__(self, make):
+    def __init__(self, make, limit: int = CACHE):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, key):
         if (found := self.old.get(key)) is None:
             found = self.make(key)
-        if len(self) >= CACHE:
+        if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
         self[key] = found
