@@ -226,6 +226,22 @@ def test_stream_equals_batch(spark, tmp_path):
     assert {r["k"]: r["v"] for r in got.collect()} == model(rows)
 
 
+def test_streaming_aggregate_equals_batch(spark, tmp_path):
+    rows = random_log(12)
+    log(spark, rows).repartition(3).write.parquet(f"file://{tmp_path}/in")
+    stream = spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+    query = streaming.state(stream).writeStream.outputMode("complete").format("memory").queryName("held").trigger(availableNow=True).option("checkpointLocation", f"file://{tmp_path}/c").start()
+    query.awaitTermination()
+    assert {r["k"]: r["v"] for r in fold.live(spark.table("held")).collect()} == model(rows)
+
+
+def test_a_batch_delivered_twice_counts_once(spark, tmp_path):
+    store = RunStore(spark, f"file://{tmp_path}/s")
+    batch = log(spark, [("a", 1, "x", 0)])
+    assert store.append(batch, 0) and not store.append(batch, 0) and store.append(batch, 1)
+    assert len(store.manifest()["runs"]) == 2
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.tuples(st.integers(-(2**63), 2**63 - 1), st.sampled_from([1, 2]), st.binary(max_size=20), st.binary(max_size=20)), max_size=8), st.integers(0, 60))
 def test_log_round_trip(records, cut):
