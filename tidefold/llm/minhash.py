@@ -36,6 +36,7 @@ MISS = 1e-7
 OWN_ROWS, VISITORS = 128, 512
 CELL_SHINGLES = 200_000
 BUCKET_ENTRIES = 1 << 18
+BROADCAST_ROWS = 1_000_000
 
 
 def n_bands(percent: int) -> int:
@@ -201,7 +202,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = rows.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select(apart("key").alias("k"))
     members = written(rows.join(shared, F.col("key") == F.col("k"), "left_semi"), "members")
     wanted = written(reps.select("id", "sig").join(members.select("id").distinct(), "id", "left_semi"), "signatures")
-    texts = written(docs.mapInArrow(_squeezed, "id long, z binary").join(wanted.select("id"), "id", "left_semi"), "texts")
+    ids = F.broadcast(wanted.select("id")) if wanted.count() <= BROADCAST_ROWS else wanted.select("id")
+    texts = written(docs.mapInArrow(_squeezed, "id long, z binary").join(ids, "id", "left_semi"), "texts")
 
     held = blocks(texts, "near", BLOCK_BYTES // 4)
     total = base.agg(F.sum("n_shingles")).first()[0] or 0
