@@ -14,11 +14,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tidefold.llm.shared import bucketed, partitions, read_partitions
+from tidefold.llm.shared import bucketed, partitions, read_bytes
 
 BLOCK_BYTES = 6 << 20
 BLOCK_ROWS = 60_000
-MAX_BUCKETS = 100_000
+BUCKET_BYTES, MAX_BUCKETS = 512 << 20, 100_000
 
 
 def pack(table: pa.Table) -> bytes:
@@ -56,10 +56,10 @@ def _cut(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatc
 def blocks(df: DataFrame, name: str, most: int = BLOCK_BYTES) -> DataFrame:
     """A bucketed table (block, n_rows, n_bytes, rows) with all rows and columns of df, `most` bytes a block.
 
-    It has as many buckets as shuffles have partitions, or more where df is so large
-    that a bucket would hold more than about four partitions of it.
+    It has as many buckets as shuffles have partitions, or more where a bucket would
+    hold more than BUCKET_BYTES of df's sources.
     """
-    buckets = min(MAX_BUCKETS, max(partitions(df.sparkSession), read_partitions(df) // 4))
+    buckets = min(MAX_BUCKETS, max(partitions(df.sparkSession), read_bytes(df) // BUCKET_BYTES))
     schema = "block long, n_rows long, n_bytes long, rows binary"
     return bucketed(df.mapInArrow(lambda it: _cut(it, most), schema), name, "block", buckets)
 

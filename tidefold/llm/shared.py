@@ -64,9 +64,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def read_partitions(df: DataFrame) -> int:
-    """Into how many partitions Spark will read or compute df, as planned; nothing is run."""
-    return df._jdf.queryExecution().toRdd().getNumPartitions()
+def read_bytes(df: DataFrame) -> int:
+    """How many bytes the sources of df have, as far as Spark knows; nothing is run."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(x for x in sizes if x < 1 << 60)  # a source of unknown size counts as the largest number there is
 
 
 def apart(column: str):
