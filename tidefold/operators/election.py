@@ -59,3 +59,20 @@ def step_down(seen: DataFrame) -> DataFrame:
 def leader_state(peers: DataFrame, last_index: int) -> DataFrame:
     """(peer, next_index, match_index) of a new leader."""
     return peers.select("peer", F.lit(last_index + 1).cast("long").alias("next_index"), F.lit(0).cast("long").alias("match_index"))
+
+
+def entry_label(term: Column, index: Column) -> Column:
+    return F.concat(F.lit("T"), term.cast("string"), F.lit(":I"), index.cast("string"))
+
+
+def log_entries(log: DataFrame, entries_a_term: int = 500) -> DataFrame:
+    """(index, term, command): a change log as replicated entries whose commands are JSON, values in base64."""
+    kind = F.when(F.col("op") == 2, "DELETE").otherwise("PUT").alias("type")
+    command = F.to_json(F.struct(kind, F.col("k").alias("key"), F.encode("v", "UTF-8").alias("value")))
+    return log.select(F.col("seq").alias("index"), F.expr(f"seq div {entries_a_term}").alias("term"), command.alias("command"))
+
+
+def read_commands(entries: DataFrame) -> DataFrame:
+    """entries with label, type, key and value (text) of their commands; null where a command is no JSON."""
+    c = F.from_json("command", "type STRING, key STRING, value BINARY")
+    return entries.withColumn("c", c).select("index", "term", entry_label(F.col("term"), F.col("index")).alias("label"), "c.type", "c.key", F.decode("c.value", "UTF-8").alias("value"))

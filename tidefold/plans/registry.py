@@ -146,6 +146,7 @@ QUERIES = {
     "raft_vote_decision": lambda s, d: _decided(s, d).select("voter", "term", "candidate", "arrival", "granted"),
     "raft_election_winner": lambda s, d: election.tally(_decided(s, d), 5),
     "raft_leaders_per_term": lambda s, d: election.leaders_per_term(election.tally(_decided(s, d), 5)),
+    "raft_log_entries": lambda s, d: election.read_commands(election.log_entries(_log(s, d))),
     "store_stats": lambda s, d: tiers.store_stats(_log(s, d)),
     "cluster_stats": lambda s, d: replication.node_stats(_replicas(s, d)),
     "cli_parse": lambda s, d: commands.parse(commands.script(_log(s, d)), F.col("line")).select("seq", "verb", "key", "value"),
@@ -269,6 +270,7 @@ count(*) >= 2 AND min(ver) <> max(ver) AS needs_repair FROM st GROUP BY k""",
     "raft_vote_decision": f"{_VOTE} SELECT * FROM d",
     "raft_election_winner": f"{_VOTE} SELECT * FROM t",
     "raft_leaders_per_term": f"{_VOTE} SELECT term, count(*) FILTER (won) AS leaders FROM t GROUP BY term",
+    "raft_log_entries": f"""WITH {_CL} SELECT seq AS "index", seq // 500 AS term, 'T' || CAST(seq // 500 AS VARCHAR) || ':I' || CAST(seq AS VARCHAR) AS label, CASE WHEN op = 2 THEN 'DELETE' ELSE 'PUT' END AS type, k AS key, v AS value FROM cl""",
     "store_stats": f"""{_RUN}, l AS (SELECT max(tid) AS last FROM cl), c AS ({_RECLAIM})
 SELECT CAST(coalesce(sum({_SIZE} + 8) FILTER (tid = last), 0) AS BIGINT) AS memtable_size, count(DISTINCT tid) FILTER (tid < last) AS num_sstables, any_value(c.keys_removed) AS keys_removed, any_value(c.bytes_reclaimed) AS bytes_reclaimed
 FROM r CROSS JOIN l CROSS JOIN c""",
