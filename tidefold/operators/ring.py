@@ -29,6 +29,8 @@ def vnodes(members: DataFrame, count: int = VIRTUAL_NODES) -> DataFrame:
 
 def _ahead(places: DataFrame, n: int) -> DataFrame:
     """(vhash, node_id, pref): the first n different nodes from each place on, clockwise."""
+    if n == 1:
+        return places.select("vhash", "node_id", F.array("node_id").alias("pref"))
     total = places.select("node_id").distinct().count()
     want, look = min(n, total), 8 * n
     twice = places.select("vhash", "node_id", F.col("vhash").alias("at")).union(places.select("vhash", "node_id", F.col("vhash") + UINT32 + 1))
