@@ -14,9 +14,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tidefold.llm.shared import bucketed, partitions, read_bytes
+from tidefold.llm.shared import bucketed, partitions, read_bytes, text_batches, tidy
 
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 BLOCK_ROWS = 60_000
 BUCKET_BYTES, MAX_BUCKETS = 512 << 20, 100_000
 
@@ -51,6 +51,8 @@ def _cut(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatc
             size, rows = size + piece.nbytes, rows + piece.num_rows
     if held:
         yield out()
+    held = []
+    tidy()
 
 
 def blocks(df: DataFrame, name: str, most: int = BLOCK_BYTES) -> DataFrame:
@@ -60,6 +62,7 @@ def blocks(df: DataFrame, name: str, most: int = BLOCK_BYTES) -> DataFrame:
     hold more than BUCKET_BYTES of df's sources.
     """
     buckets = min(MAX_BUCKETS, max(partitions(df.sparkSession), read_bytes(df) // BUCKET_BYTES))
+    text_batches(df.sparkSession)
     schema = "block long, n_rows long, n_bytes long, rows binary"
     return bucketed(df.mapInArrow(lambda it: _cut(it, most), schema), name, "block", buckets)
 
@@ -84,6 +87,7 @@ def across_blocks(held: DataFrame, hashes: Callable[[pa.Table], np.ndarray], buc
                 h = np.unique(h[np.diff(h, prepend=h[:1] ^ np.uint64(1)) != 0])
                 cut = split(h, buckets)
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array([c[0] for c in cut], pa.int64()), "block": pa.array([block] * len(cut), pa.int64()), "h": pa.array([h[i:j].tobytes() for _, i, j in cut], pa.binary())})
+        tidy()
 
     def in_two(group: pa.Table) -> pa.Table:
         blobs = [np.frombuffer(x, np.uint64) for x in group.column("h").to_pylist()]

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tidefold.llm import words as W
 from tidefold.llm.blocks import BLOCK_BYTES, across_blocks, blocks, unpack
 from tidefold.llm.components import components
-from tidefold.llm.shared import apart, table, written
+from tidefold.llm.shared import apart, table, text_batches, tidy, written
 
 ROWS_PER_BAND = 4
 MISS = 1e-7
@@ -87,6 +87,7 @@ def _sketches(batches: Iterator[pa.RecordBatch], id_col: str, text_col: str, k:
                 "bands": pa.array([keys[place[i]] if i in place else None for i in range(len(texts))], pa.list_(pa.int64())),
                 "sig": pa.array([sig[place[i]].tobytes() if i in place else None for i in range(len(texts))], pa.binary()),
             })
+    tidy()
 
 
 def _total(words: np.ndarray, weights: np.ndarray) -> int:
@@ -130,11 +131,13 @@ def _verify(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator
                 both = len(p) + len(q) - len(np.unique(np.concatenate([p, q])))
                 linked.append(100 * both >= percent * (len(p) + len(q) - both))
             yield part.select([0, 1]).filter(pa.array(linked, pa.bool_()))
+    tidy()
 
 
 def _shared_counts(k: int):
     """(id, size, shared): of a text's set, how many shingles another text has too."""
     def count(key, block: pa.Table, known: pa.Table) -> pa.Table:
+        tidy()
         ids, sizes, shared = [], [], []
         if block.num_rows:
             rows = unpack(block.column("rows")[0].as_py())
@@ -193,6 +196,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked with nothing and have a null component. Other columns are not looked at.
     """
     bands = n_bands(percent)
+    text_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     base = written(docs.mapInArrow(lambda it: _sketches(it, "id", "text", k, bands), "id long, n_shingles long, c1 long, c2 long, bands array<long>, sig binary"), "sketches")
     classes = written(base.where("id IS NOT NULL AND n_shingles > 0").groupBy("c1", "c2").agg(F.min("id").alias("rep")), "classes")

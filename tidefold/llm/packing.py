@@ -16,10 +16,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidefold.llm.shared import table
+from tidefold.llm.shared import table, text_batches, tidy
 from tidefold.llm.tokens import encoder
 
-GROUP_TOKENS = 8 << 20
+GROUP_TOKENS = 4 << 20
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_tokens long, padded_tokens long"
 
 
@@ -105,6 +105,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, end_id: int, size: int,
                 yield out()
     if docs:
         yield out()
+    tidy()
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, size: int = 2048, group: int = GROUP_TOKENS) -> DataFrame:
@@ -118,6 +119,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     `group` tokens is packed at a time, so memory is bounded by that and the longest
     text. An empty table gives an empty table.
     """
+    text_batches(docs.sparkSession)
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(lambda it: _pack(it, tokenizer, end_id, size, group), SCHEMA)
 
 

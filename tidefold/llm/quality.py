@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidefold.llm.blocks import blocks, unpack
-from tidefold.llm.shared import apart, table, written
+from tidefold.llm.shared import apart, table, tidy, written
 
 ORDER = 4
 START = 2
@@ -75,6 +75,7 @@ def _distinct(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.R
                 codes, own = pd.factorize(np.concatenate(found))
                 n = np.bincount(codes, weights=np.concatenate(counts), minlength=len(own)).astype(np.int64)
                 yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(len(own), block, np.int64)), "g": pa.array(own), "n": pa.array(n)})
+    tidy()
 
 
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -123,6 +124,7 @@ def log_probabilities(counted: DataFrame) -> DataFrame:
 
 def _score(text_col: str, id_col: str, lang_col: str):
     def score(key, held: pa.Table, known: pa.Table) -> pa.Table:
+        tidy()
         if not held.num_rows:
             return SCORED.empty_table()
         rows = unpack(held.column("rows")[0].as_py())
@@ -211,6 +213,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     empty = to_arrow_schema(schema).empty_table()
 
     def keep(key, block: pa.Table, rejected: pa.Table) -> pa.Table:
+        tidy()
         if not block.num_rows:
             return empty
         rows = unpack(block.column("rows")[0].as_py())

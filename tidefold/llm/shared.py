@@ -8,6 +8,7 @@ as in tests on one machine, a temporary folder is made.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -35,6 +36,27 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+BATCH_ROWS = 1000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Bound what goes between Spark and Python at a time: batches of whole texts are long with the usual 10,000 rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
+def tidy() -> None:
+    """Give freed memory back to the system: Python workers live on from one stage to the next."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: lineage is cut, and a lost executor loses nothing."""
     path = new_path(df.sparkSession, name)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tidefold.llm import words as W
 from tidefold.llm.blocks import across_blocks, blocks, split, unpack
-from tidefold.llm.shared import table
+from tidefold.llm.shared import table, tidy
 
 BUCKET_ENTRIES = 1 << 18
 WORDS, REMOVED = "substring_words", "substring_removed"
@@ -132,6 +132,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     survivors = across_blocks(held, half, buckets)
 
     def level_full(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        tidy()
         out: dict[str, list] = {k: [] for k in ("bucket", "block", "h", "more", "ids", "start")}
         if left.num_rows and right.num_rows:
             t, live = _Texts(unpack(left.column("rows")[0].as_py()), id_col, text_col), np.sort(_joined(right.column("h"), np.uint64))
@@ -178,6 +179,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
     def without(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        tidy()
         if not left.num_rows:
             return empty
         rows = unpack(left.column("rows")[0].as_py())
