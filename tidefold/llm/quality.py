@@ -29,7 +29,7 @@ ORDER = 4
 START = 2
 BROADCAST_ROWS = 1_000_000
 QUANTILE, MARGIN, SHORT = 0.99, 1.25, 100
-SLICE = 1 << 20
+SLICE, BLOCK_BYTES = 1 << 20, 6 << 20
 BINS = 200  # of a unit of ln(perplexity)
 TRUST, BLOCK_ROW = "_trusted", "_row"
 
@@ -182,7 +182,7 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     good = written(good.where("good = 1").select("_id", F.lit(True).alias(TRUST)), "trusted")
     few = F.broadcast(good) if good.count() <= BROADCAST_ROWS else good
     marked = docs.join(few, F.col(id_col) == F.col("_id"), "left").drop("_id").withColumn(TRUST, F.coalesce(TRUST, F.lit(False)))
-    held = blocks(marked, "quality")
+    held = blocks(marked, "quality", BLOCK_BYTES)
     rows = written(held.select("block", "rows").mapInArrow(lambda it: _distinct(it, text_col), "block long, g long, n long"), "grams")
     known = log_probabilities(rows.groupBy("g").agg(F.sum("n").alias("c"))).select(apart("g").alias("k"), "lp")
     known = rows.select("block", "g").join(known, F.col("g") == F.col("k")).select("block", "g", "lp")
