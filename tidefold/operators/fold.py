@@ -28,7 +28,7 @@ def deleted(folded: DataFrame) -> DataFrame:
 
 
 def latest(log: DataFrame) -> DataFrame:
-    return live(newest(log, "k")).select("k", "v", "seq")
+    return live(newest(log.select("k", "op", "v", "seq"), "k")).select("k", "v", "seq")
 
 
 def point_get(log: DataFrame, key: str) -> DataFrame:
