@@ -339,6 +339,34 @@ def test_quality_finds_bad_documents(spark, sf):
     assert good.kept.mean() > 0.97 and bad.kept.mean() < 0.5
 
 
+def test_quality_finds_repetition(spark):
+    """Repeated words and lines are likely characters; they are told by the text's own repetition."""
+    r = random.Random(12)
+    good = [prose(r, r.choice([8, 60, 300])) for _ in range(120)]
+    junk = ["w12 " * 80, "w7 w8 " * 60, "w300 w41, w9 w55.\n" * 30, good[1] + " w5" * 400, "w31 w31 w45 w45 w45 w2 w2 w6 w6 w77 w77", "w250 " * 12]
+    fine = [prose(r, n) for n in (5, 50, 500)] + ["w1 w1", good[0] + "\n" + good[1] + "\n" + good[0][:30], None, ""]
+    df = docs(spark, good + junk + fine).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "en").otherwise("de"))
+    for labels in ([(i, 1, 0) for i in range(100)], [(i, 1, 0) for i in range(100)] + [(120, 0, 0), (121, 0, 0)]):
+        got = {x["id"]: x for x in quality.quality(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))[1].collect()}
+        assert [i for i in range(120, 126) if got[i]["kept"]] == []
+        assert all(got[i]["kept"] for i in range(126, len(got)))
+    assert any(got[i]["perplexity"] <= got[i]["limit"] for i in range(120, 126))
+
+
+def test_margin_follows_bad_documents(spark):
+    """Documents labelled bad whose perplexity is within the widest margin are rejected, and so is what is like them."""
+    r = random.Random(13)
+    good = [prose(r, 100) for _ in range(60)]
+    odd = [" ".join(w if r.random() < 0.9 else f"#{w}" for w in prose(r, 100).split()) for _ in range(10)]
+    df = docs(spark, good + odd).withColumn("lang", F.lit("en"))
+    trusted = [(i, 1, 0) for i in range(60)]
+    wide, narrow = (
+        {x["id"]: x for x in quality.quality(df, spark.createDataFrame(rows, "doc_id long, quality int, toxic int"), margin=3.0)[1].collect()} for rows in (trusted, trusted + [(i, 0, 0) for i in range(60, 65)])
+    )
+    assert all(x["kept"] for x in wide.values())
+    assert not any(narrow[i]["kept"] for i in range(60, 65)) and sum(narrow[i]["kept"] for i in range(60)) >= 59
+
+
 # --- 7: chat -------------------------------------------------------------------------------------
 
 

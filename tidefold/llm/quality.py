@@ -8,12 +8,17 @@ n-gram that occurs anywhere into one log-probability, which goes back to the blo
 that have it, where the documents are scored. Nothing is sent once per word, and no
 model is collected or broadcast.
 
-A document is rejected if its perplexity exceeds that of nearly all trusted documents
-of its language by a margin. Short texts are drawn to the middle of their language.
+A document is rejected if its perplexity, or the part of it that repeats itself,
+exceeds that of nearly all trusted documents of its language by a margin. Repetition
+is measured apart because a model of few characters finds it likely. How wide the
+margins are is chosen from documents labelled bad. Short texts are drawn to the middle
+of their language.
 """
 
 from __future__ import annotations
 
+import math
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,9 +33,10 @@ from tidefold.llm.shared import apart, table, tidy, written
 ORDER = 4
 START = 2
 BROADCAST_ROWS = 1_000_000
-QUANTILE, MARGIN, SHORT = 0.99, 1.25, 100
+QUANTILE, MARGIN, SHORT = 0.99, 1.25, 50
+REPEAT, FEW_WORDS, REPEAT_MARGIN = 16, 4, 0.25
 SLICE, BLOCK_BYTES = 1 << 20, 6 << 20
-BINS = 200  # of a unit of ln(perplexity)
+BINS = 200  # of a unit of ln(perplexity), and of the repeated part
 TRUST, BLOCK_ROW = "_trusted", "_row"
 
 
@@ -51,6 +57,28 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return out[keep].view(np.int64), np.concatenate([[0], np.cumsum(lens)])
 
 
+def repeated(g: np.ndarray, bounds: np.ndarray, texts: list[str | None]) -> np.ndarray:
+    """How much of each text repeats itself, 0 to 1: the larger of the shares of its REPEAT-unit windows that it had before, and of its words that equal the word before them.
+
+    g, bounds: the n-grams of the texts. The share of words counts FEW_WORDS more, so that one doubled word is not much of a short text.
+    """
+    n, first = np.diff(bounds), REPEAT - ORDER
+    owner = np.repeat(np.arange(len(texts)), n)
+    h = owner.astype(np.uint64)
+    for j in range(0, REPEAT, ORDER):
+        h = h * np.uint64(0x9E3779B97F4A7C15)
+        h[j:] ^= g.view(np.uint64)[: max(0, len(g) - j)]
+        h ^= h >> np.uint64(29)
+    whole = np.arange(len(g)) - bounds[owner] >= first + ORDER - 1
+    again = pd.Series(h[whole]).duplicated().to_numpy()
+    windows = np.bincount(owner[whole][again], minlength=len(texts)) / np.maximum(n - REPEAT + 1, 1)
+    doubled = []
+    for x in texts:
+        ws = (x or "").split()
+        doubled.append(sum(map(operator.eq, ws, ws[1:])) / max(len(ws) - 1 + FEW_WORDS, 1))
+    return np.maximum(windows, doubled)
+
+
 def _slices(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
     """Runs of texts of about SLICE characters, each with its first one's place."""
     first = size = 0
@@ -65,7 +93,7 @@ def _distinct(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.R
     for batch in batches:
         for block, blob in zip(batch.column("block").to_pylist(), batch.column("rows").to_pylist()):
             rows = unpack(blob)
-            trusted, found, counts = rows.column(TRUST).to_numpy(), [], []
+            trusted, found, counts = rows.column(TRUST).fill_null(False).to_numpy(), [], []
             for first, texts in _slices(rows.column(text_col).to_pylist()):
                 g, bounds = grams(texts)
                 codes, own = pd.factorize(g)
@@ -131,7 +159,7 @@ def _score(text_col: str, id_col: str, lang_col: str):
         have, lp = known.column("g").to_numpy(), known.column("lp").to_numpy()
         order = np.argsort(have)
         have, lp = have[order], lp[order]
-        sizes, nll = [np.zeros(0, np.int64)], [np.zeros(0)]
+        sizes, nll, again = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)]
         for _, texts in _slices(rows.column(text_col).to_pylist()):
             g, bounds = grams(texts)
             codes, found = pd.factorize(g)
@@ -141,19 +169,20 @@ def _score(text_col: str, id_col: str, lang_col: str):
             sums = np.concatenate([[0.0], np.cumsum(-lp[at][codes])])
             sizes.append(np.diff(bounds))
             nll.append(sums[bounds[1:]] - sums[bounds[:-1]])
-        sizes, nll = np.concatenate(sizes), np.concatenate(nll)
+            again.append(repeated(g, bounds, texts))
+        sizes, nll, again = np.concatenate(sizes), np.concatenate(nll), np.concatenate(again)
         n = rows.num_rows
         block = held.column("block")[0].as_py()
         return pa.table({
             "block": pa.array(np.full(n, block, np.int64)), "row": pa.array(np.arange(n)), "id": rows.column(id_col).cast(pa.int64()).combine_chunks(),
             "lang": rows.column(lang_col).cast(pa.string()).combine_chunks(), "trusted": rows.column(TRUST).combine_chunks(),
-            "n": pa.array(sizes), "nll": pa.array(nll),
+            "n": pa.array(sizes), "nll": pa.array(nll), "repeated": pa.array(again),
         }).cast(SCORED)
 
     return score
 
 
-SCORED = pa.schema([("block", pa.int64()), ("row", pa.int64()), ("id", pa.int64()), ("lang", pa.string()), ("trusted", pa.bool_()), ("n", pa.int64()), ("nll", pa.float64())])
+SCORED = pa.schema([("block", pa.int64()), ("row", pa.int64()), ("id", pa.int64()), ("lang", pa.string()), ("trusted", pa.bool_()), ("n", pa.int64()), ("nll", pa.float64()), ("repeated", pa.float64())])
 
 
 def _quantile(scored: DataFrame, q: float, *keys: str) -> DataFrame:
@@ -165,29 +194,63 @@ def _quantile(scored: DataFrame, q: float, *keys: str) -> DataFrame:
     return at.where(F.col("upto") >= q * F.col("all")).groupBy(*keys).agg((F.min("b") / BINS).alias("x"))
 
 
+def _cut(marked: DataFrame, most: DataFrame, reach: float) -> DataFrame:
+    """(lang, limit): from the quantiles `most` (lang, x) up to `reach` more, the limit of x with the least sum of the shares of bad ones kept and trusted ones rejected; the largest of equals.
+
+    marked: (lang, x, trusted), trusted false for bad ones. Where no bad one lies in between this is x + reach.
+    """
+    bins = marked.groupBy("lang", F.ceil(F.col("x") * BINS).cast("double").alias("b")).agg(F.count(F.when(F.col("trusted"), 1)).alias("good"), F.count(F.when(~F.col("trusted"), 1)).alias("bad"))
+    ends = most.select("lang", (F.col("x") * BINS).alias("low"), ((F.col("x") + reach) * BINS).alias("high"))
+    bins = bins.union(ends.select("lang", F.col("high") + 1, F.lit(0), F.lit(0))).groupBy("lang", "b").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    every = Window.partitionBy("lang")
+    below = every.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    part = lambda c: F.coalesce(F.sum(c).over(below), F.lit(0)) / F.greatest(F.sum(c).over(every), F.lit(1))
+    at = bins.select("lang", "b", (part("bad") - part("good")).alias("loss")).join(ends, "lang").where("b > low AND b <= high + 1")
+    return at.groupBy("lang").agg((F.min_by("b", F.struct(F.round("loss", 9), -F.col("b"))) - 1).alias("b")).select("lang", (F.col("b") / BINS).alias("limit"))
+
+
+def _limits(judged: DataFrame, quantile: float, margin: float) -> DataFrame:
+    """(lang, limit, most_repeated) of every language with trusted text: the limits of x, the ln of perplexity, and of the repeated part.
+
+    A bad document that the widest limit of one measure rejects does not narrow the other's.
+    """
+    known = judged.where("trusted IS NOT NULL")
+    xs, rs = known.select("lang", "x", "trusted", "repeated"), known.select("lang", F.col("repeated").alias("x"), "trusted", F.col("x").alias("other"))
+    x_low = written(_quantile(xs.where("trusted"), quantile, "lang"), "limits")
+    r_low = written(_quantile(rs.where("trusted"), quantile, "lang"), "limits")
+    reach = math.log(margin)
+    open_x = xs.join(r_low.select("lang", (F.col("x") + REPEAT_MARGIN).alias("most")), "lang").where("trusted OR repeated <= most")
+    open_r = rs.join(x_low.select("lang", (F.col("x") + reach).alias("most")), "lang").where("trusted OR other <= most")
+    both = _cut(open_x, x_low, reach).join(_cut(open_r, r_low, REPEAT_MARGIN).withColumnRenamed("limit", "most_repeated"), "lang")
+    return written(both, "limits")
+
+
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, margin: float = MARGIN) -> tuple[DataFrame, DataFrame]:
-    """(blocks of docs, scores): scores has block, row, id, lang, n, perplexity, limit and kept for every row of docs.
+    """(blocks of docs, scores): scores has block, row, id, lang, n, perplexity, limit, repeated, most_repeated and kept for every row of docs.
 
     labels: (doc_id, quality, toxic). Text is trusted if it has a label and all its
-    labels have quality 1 and not toxic 1. Perplexity is that of a text's n characters
+    labels have quality 1 and not toxic 1, and bad if one has quality 0. Perplexity is that of a text's n characters
     together with SHORT more of its language's median, so short texts need not be
-    judged apart; null and empty texts have n = 0. The limit of a language is its
-    trusted documents' quantile times margin; a language (null is one) without
-    trusted text gets the limit of all languages together. Without any trusted text
-    everything is kept. Rows without an id are scored, never trusted; repeated rows
+    judged apart; null and empty texts have n = 0. The limit of a language lies
+    between its trusted documents' quantile and that times margin, that of the repeated
+    part between their quantile and REPEAT_MARGIN more, where they part trusted and bad
+    documents best; a language (null is one) without trusted text gets the limits of all
+    languages together. Without any trusted text everything is kept. Rows without an id are scored, never trusted; repeated rows
     all count. Columns named _trusted and _row in the input are dropped.
     """
     docs = docs.drop(TRUST, BLOCK_ROW)
-    good = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.min(((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) != 1)).cast("int")).alias("good"))
-    good = written(good.where("good = 1").select("_id", F.lit(True).alias(TRUST)), "trusted")
+    good = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(
+        F.min(((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) != 1)).cast("int")).alias("good"), F.min("quality").alias("least")
+    )
+    good = written(good.where("good = 1 OR least = 0").select("_id", (F.col("good") == 1).alias(TRUST)), "trusted")
     few = F.broadcast(good) if good.count() <= BROADCAST_ROWS else good
-    marked = docs.join(few, F.col(id_col) == F.col("_id"), "left").drop("_id").withColumn(TRUST, F.coalesce(TRUST, F.lit(False)))
+    marked = docs.join(few, F.col(id_col) == F.col("_id"), "left").drop("_id")
     held = blocks(marked, "quality", BLOCK_BYTES)
     rows = written(held.select("block", "rows").mapInArrow(lambda it: _distinct(it, text_col), "block long, g long, n long"), "grams")
     known = log_probabilities(rows.groupBy("g").agg(F.sum("n").alias("c"))).select(apart("g").alias("k"), "lp")
     known = rows.select("block", "g").join(known, F.col("g") == F.col("k")).select("block", "g", "lp")
     scored = held.select("block", "rows").groupBy("block").cogroup(known.groupBy("block")).applyInArrow(
-        _score(text_col, id_col, lang_col), "block long, row long, id long, lang string, trusted boolean, n long, nll double"
+        _score(text_col, id_col, lang_col), "block long, row long, id long, lang string, trusted boolean, n long, nll double, repeated double"
     )
     scored = written(scored.withColumn("lang", F.coalesce("lang", F.lit(""))), "scored")
 
@@ -196,12 +259,12 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     over_all = _quantile(plain.withColumn("lang", F.lit("")), 0.5, "lang").first()
     mid = F.coalesce("mid", F.lit(over_all["x"] if over_all else 0.0))
     drawn = scored.join(middle, "lang", "left").withColumn("x", (F.col("nll") + SHORT * mid) / (F.col("n") + SHORT)).drop("mid")
-    trusted = drawn.where("trusted")
-    limit = written(_quantile(trusted, quantile, "lang").withColumnRenamed("x", "q"), "limits")
-    over_all = _quantile(trusted.withColumn("lang", F.lit("")), quantile, "lang").first()
-    out = drawn.join(limit, "lang", "left").withColumn("limit", F.exp(F.coalesce("q", F.lit(over_all["x"] if over_all else None).cast("double"))) * margin)
-    out = out.withColumn("perplexity", F.exp("x"))
-    return held, out.select("block", "row", "id", "lang", "n", "perplexity", "limit", F.coalesce(F.col("perplexity") <= F.col("limit"), F.lit(True)).alias("kept"))
+    limits = _limits(drawn, quantile, margin)
+    over_all = _limits(drawn.withColumn("lang", F.lit("")), quantile, margin).first()
+    fallback = lambda c: F.coalesce(c, F.lit(over_all[c] if over_all else None).cast("double"))
+    out = drawn.join(limits, "lang", "left").withColumns({"limit": F.exp(fallback("limit")), "most_repeated": fallback("most_repeated"), "perplexity": F.exp("x")})
+    kept = (F.col("perplexity") <= F.col("limit")) & (F.col("repeated") <= F.col("most_repeated"))
+    return held, out.select("block", "row", "id", "lang", "n", "perplexity", "limit", "repeated", "most_repeated", F.coalesce(kept, F.lit(True)).alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
