@@ -50,13 +50,14 @@ def partial_merge(runs: DataFrame, tids: list[int]) -> DataFrame:
     return runs.where(~picked).unionByName(merged.select(*runs.columns))
 
 
-def merge_stats(runs: DataFrame) -> DataFrame:
-    """(entries_in, keys, keys_removed, bytes_reclaimed): removed are deletions that survive the merge; bytes are all input less what stays."""
+def merge_stats(runs: DataFrame, by: str = "tid", keep_deletions: bool = False) -> DataFrame:
+    """(entries_in, keys, keys_removed, bytes_reclaimed): removed are deletions that survive the merge; bytes are all input less what stays. A merge that keeps deletions removes no key."""
     size = F.octet_length("k") + value_bytes(F.col("v"))
-    per_key = runs.groupBy("k").agg(F.count("*").alias("n"), F.sum(size).alias("all"), F.max_by(F.struct("op", size.alias("size")), "tid").alias("r"))
+    per_key = runs.groupBy("k").agg(F.count("*").alias("n"), F.sum(size).alias("all"), F.max_by(F.struct("op", size.alias("size")), by).alias("r"))
+    stays = (F.col("r.op") == PUT) | F.lit(keep_deletions)
     return per_key.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("entries_in"), F.count("*").alias("keys"), F.count(F.when(F.col("r.op") == DELETE, 1)).alias("keys_removed"),
-        F.coalesce(F.sum(F.col("all") - F.when(F.col("r.op") == PUT, F.col("r.size")).otherwise(0)), F.lit(0)).alias("bytes_reclaimed"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("entries_in"), F.count("*").alias("keys"), F.count(F.when((F.col("r.op") == DELETE) & ~stays, 1)).alias("keys_removed"),
+        F.coalesce(F.sum(F.col("all") - F.when(stays, F.col("r.size")).otherwise(0)), F.lit(0)).alias("bytes_reclaimed"),
     )
 
 

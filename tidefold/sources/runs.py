@@ -62,16 +62,21 @@ class RunStore:
     def current(self) -> DataFrame:
         return live(newest(self.read().drop("tid"), "k")).select("k", "v", "seq")
 
-    def compact(self, force: bool = False) -> bool:
-        """Merge all runs of this manifest into one, in place of the newest; runs committed meanwhile make the commit fail."""
+    def compact(self, force: bool = False, by: str = "tid", keep_deletions: bool = False) -> bool:
+        """Merge all runs of this manifest into one, in place of the newest; runs committed meanwhile make the commit fail.
+
+        Where runs may arrive out of order, `by` must be "seq" and deletions must stay, since
+        older writes can still come.
+        """
         state = self.manifest()
         if not state["runs"] or not force and len(state["runs"]) <= COMPACTION_TRIGGER:
             return False
         runs = self.read(state)
-        stats = tiers.merge_stats(runs).first()
+        stats = tiers.merge_stats(runs, by, keep_deletions).first()
         name, old = f"run-{state['version'] + 1:012d}", state["runs"]
         files.delete(self.spark, f"{self.path}/runs/{name}")
-        self._write(live(newest(runs, "k", by="tid")), name)
+        merged = newest(runs, "k", by=by)
+        self._write(merged if keep_deletions else live(merged), name)
         state["runs"] = [{"tid": max(r["tid"] for r in old), "name": name}]
         state["compactions"] += 1
         state["removed"] += stats["keys_removed"]

@@ -21,12 +21,13 @@ def state(stream: DataFrame) -> DataFrame:
 def into_runs(stream: DataFrame, store: RunStore, checkpoint: str, compact: bool = True):
     """Start a query that folds each micro-batch into a run of the store and compacts when there are too many.
 
+    Compaction orders by sequence number and keeps deletions, as batches may come in any order.
     A batch that is delivered again after a failure is recognised by its number.
     """
     def take(batch: DataFrame, number: int) -> None:
         store.append(batch, number)
         if compact:
-            store.compact()
+            store.compact(by="seq", keep_deletions=True)
 
     return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
