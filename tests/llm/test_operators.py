@@ -114,6 +114,15 @@ def test_near_duplicates_of_a_large_group(spark):
     assert got == brute_components(list(enumerate(texts)), 85)
 
 
+def test_rows_of_an_id_join_their_texts(spark):
+    """doc 5 has the texts of 3 and of 4, doc 8 an own text and a near copy of 4's; neither id represents both of its texts."""
+    r = random.Random(15)
+    a, b, c = (prose(r, 100) for _ in range(3))
+    rows = [(3, a), (4, b), (5, a), (5, b), (6, c), (8, c), (8, b + " end"), (9, prose(r, 50)), (2, None), (2, "one two")]
+    got = {(x["id"], x["component"]) for x in minhash.near_duplicates(docs(spark, rows)).collect()}
+    assert got == {(3, 3), (4, 3), (5, 3), (6, 3), (8, 3), (9, 9), (2, 2)}
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash.near_duplicates(docs(spark, [])).count() == 0
     assert minhash.near_duplicates(docs(spark, [None, ""])).count() == 2

@@ -251,7 +251,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = own.union(guests).groupBy("key", "i", "j").applyInArrow(_cell(k, percent), "a long, b long")
     edges = written(edges.union(more.distinct()), "all_links")
 
-    found = components(edges)
+    # an id whose rows have different texts joins their classes; only ids of several rows are looked up
+    own = base.where("id IS NOT NULL AND n_shingles > 0").select("id", "c1", "c2")
+    several = written(own.groupBy("id").agg(F.min(F.struct("c1", "c2")).alias("least"), F.max(F.struct("c1", "c2")).alias("most")).where("least <> most").select(apart("id").alias("k")), "several")
+    several = own.join(several, F.col("id") == F.col("k")).select("id", F.col("c1").alias("k1"), apart("c2").alias("k2"))
+    joined = classes.join(several, (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2"))).select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    found = components(edges.union(joined))
     by_class = written(
         classes.join(found, classes.rep == found.node, "left").select("c1", apart("c2").alias("k2"), F.coalesce("component", "rep").alias("least")), "components"
     )
