@@ -251,24 +251,90 @@ def test_pieces_are_those_of_the_library(spark):
         ids = np.frombuffer(own.encode(text), np.uint32).tolist()
         assert ids == library.encode(text), text
         assert own.decode(own.encode(text)).decode() == library.decode(ids)
-    df = docs(spark, [None, "", "Hello  world\n"]).withColumn("ids", F.lit(3))
+    df = docs(spark, [None, "", "Hello  world\n", "a" * 200_000, "Hello  world\n"]).withColumns({"ids": F.lit(3), "id": F.lit("clash")})
     got = pieces.decode(pieces.encode(df, path), path).orderBy("doc_id").collect()
-    assert [(x["text"], x["ids"]) for x in got] == [(None, 3), ("", 3), ("Hello  world\n", 3)]
+    assert [(x["text"], x["ids"]) for x in got] == [(None, 3), ("", 3), ("Hello  world\n", 3), ("a" * 200_000, 3), ("Hello  world\n", 3)]
+    assert pieces.encode(df.limit(0), path).count() == pieces.round_trip(df.limit(0), path).count() == 0
+
+
+def test_pieces_of_the_query(spark, sf):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r["doc_id"]: r for r in registry.QUERIES["op5_sentencepiece"](spark, sf).collect()}
+    assert set(got) == set(texts)
+    for i, text in texts.items():
+        ids = library.encode(text)
+        data = np.array(ids, np.uint32).tobytes()
+        assert (got[i]["n_ids"], got[i]["ids_crc32"], got[i]["decoded_sha256"]) == (len(ids), zlib.crc32(data), hashlib.sha256(library.decode(ids).encode()).hexdigest())
+
+
+def test_a_long_run_without_spaces():
+    import sentencepiece
+
+    t = pieces.transducer(pieces.model_path())
+    r = random.Random(7)
+    text = "ab" * 1_000_000 + "".join(r.choice("abcdefgé日0") for _ in range(100_000))
+    assert np.frombuffer(t.encode(text), np.uint32).tolist() == sentencepiece.SentencePieceProcessor(model_file=pieces.model_path()).encode(text)
+    t.forget()
+    assert not t.words and not t.passes
+
+
+def unigram(rules="identity", fold=False, prefix=True, suffix=False, fallback=False, seed=8):
+    """A model put together by hand: a few pieces with weights by chance, and a normaliser of the library."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    r, model = random.Random(seed), sentencepiece_model_pb2.ModelProto()
+    for name, kind in (("<unk>", 2), ("<s>", 3), ("</s>", 3)):
+        model.pieces.add(piece=name, score=0.0, type=kind)
+    for i in range(256 if fallback else 0):
+        model.pieces.add(piece=f"<0x{i:02X}>", score=0.0, type=6)
+    mark = pieces.MARK
+    for p in ["a", "b", "c", "ab", "ba", "bab", "aab", "abab", "fi", "f", "i", "é", mark, *((p + mark if suffix else mark + p) for p in ("a", "ab", "b"))]:
+        model.pieces.add(piece=p, score=-r.uniform(1, 9), type=1)
+    model.trainer_spec.model_type, model.trainer_spec.byte_fallback, model.trainer_spec.treat_whitespace_as_suffix = 1, fallback, suffix
+    model.normalizer_spec.CopyFrom(sentencepiece_model_pb2.ModelProto.FromString(sentencepiece.SentencePieceNormalizer(rule_name=rules).serialized_model_proto()).normalizer_spec)
+    model.normalizer_spec.remove_extra_whitespaces, model.normalizer_spec.add_dummy_prefix = fold, prefix
+    return model
+
+
+@pytest.mark.parametrize("options", [{}, {"fallback": True}, {"rules": "nmt_nfkc", "fold": True}, {"rules": "nmt_nfkc_cf", "prefix": False}, {"rules": "nfkc", "fold": True, "suffix": True, "fallback": True}])
+def test_unigram_models_are_the_library(options):
+    import sentencepiece
+
+    model = unigram(**options)
+    library, own = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString()), pieces.Transducer(model)
+    r = random.Random(10)
+    odd = ["a", "b", "c", "ab", "ba", " ", "  ", "\t", "\n", "ﬁ", "e\u0301", "Ａ", "Ⅷ", "日", "ΑΣ", "\u3000", "\u00a0", "\u200b", "½", "a\u0300", "😀", "ｶﾞ", "B"]
+    cases = ["", " ", "   "] + ["".join(r.choice(odd) for _ in range(r.randrange(1, 15))) for _ in range(600)]
+    for text in cases:
+        ids = np.frombuffer(own.encode(text), np.uint32).tolist()
+        assert ids == library.encode(text), text
+        assert own.decode(own.encode(text)).decode(errors="replace") == library.decode(ids), text
 
 
 def test_least_path_is_the_best_of_all():
-    t = object.__new__(pieces.Transducer)
     r = random.Random(8)
-    for _ in range(50):
-        t.score = {c: -r.uniform(3, 6) for c in "ab"} | {x: -r.uniform(3, 9) for x in ("ab", "ba", "aab", "bb", "abab")}
-        t.ids, t.longest = {p: i for i, p in enumerate(t.score)}, 4
+    for seed in range(30):
+        model = unigram(seed=seed)
+        t = pieces.Transducer(model)
         text = "".join(r.choice("ab") for _ in range(9))
 
         def every(rest):
             return [[]] if not rest else [[p, *q] for p in t.score if rest.startswith(p) for q in every(rest[len(p) :])]
 
         weight = lambda path: -sum(t.score[p] for p in path)
-        assert weight(t._least_path(text)) == pytest.approx(min(map(weight, every(text))))
+        got = [t.pieces[i] for i in np.frombuffer(t._path(text), np.uint32)]
+        assert "".join(got) == text and weight(got) == pytest.approx(min(map(weight, every(text))))
+
+
+def test_models_that_are_not_compiled():
+    model = unigram()
+    model.pieces.add(piece="own", score=0.0, type=4)
+    with pytest.raises(ValueError):
+        pieces.Transducer(model)
 
 
 # --- 6: quality ----------------------------------------------------------------------------------
