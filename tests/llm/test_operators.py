@@ -278,7 +278,7 @@ def test_a_long_run_without_spaces():
     text = "ab" * 1_000_000 + "".join(r.choice("abcdefgé日0") for _ in range(100_000))
     assert np.frombuffer(t.encode(text), np.uint32).tolist() == sentencepiece.SentencePieceProcessor(model_file=pieces.model_path()).encode(text)
     t.forget()
-    assert not t.words and not t.passes
+    assert not t.words and t.pairs.held == 0
 
 
 def unigram(rules="identity", fold=False, prefix=True, suffix=False, fallback=False, seed=8):
