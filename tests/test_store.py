@@ -67,12 +67,82 @@ def test_compaction_keeps_reads_and_is_idempotent(spark, tmp_path):
     assert store.manifest()["compactions"] == 2
 
 
-def test_commit_of_a_taken_version_fails(spark, tmp_path):
+def current(store):
+    return {r["k"]: r["v"] for r in store.current().collect()}
+
+
+def test_a_taken_version_is_not_overwritten(spark, tmp_path):
     one, two = (RunStore(spark, f"file://{tmp_path}/s") for _ in range(2))
     state = one.manifest()
     one.append(log(spark, [("a", 1, "x", 0)]))
-    with pytest.raises(Exception):
-        two._commit(state)
+    assert not two._commit(state) and current(two) == {"a": "x"}
+
+
+def test_of_two_writers_none_loses(spark, tmp_path, monkeypatch):
+    """The second commits between the first one's look at the manifest and its commit."""
+    one, two = (RunStore(spark, f"file://{tmp_path}/s") for _ in range(2))
+    write = one._write
+
+    def slow(records, tid):
+        run = write(records, tid)
+        two.append(log(spark, [("b", 1, "B", 1), ("c", 1, "new", 7)]))
+        return run
+
+    monkeypatch.setattr(one, "_write", slow)
+    assert one.append(log(spark, [("a", 1, "A", 0), ("c", 1, "old", 6)]))
+    assert current(one) == {"a": "A", "b": "B", "c": "new"}
+    assert sorted(r["tid"] for r in one.read().select("tid").distinct().collect()) == [0, 1]
+    assert one.compact(force=True)  # another run is committed while it merges
+    assert current(two) == {"a": "A", "b": "B", "c": "new"} and len(two.manifest()["runs"]) == 2
+
+
+def test_order_of_arrival_does_not_count(spark, tmp_path):
+    store = RunStore(spark, f"file://{tmp_path}/s")
+    store.append(log(spark, [("a", 1, "new", 10), ("d", 2, None, 10)]))
+    store.append(log(spark, [("a", 1, "old", 5)]))
+    assert current(store) == {"a": "new"}
+    assert store.compact(force=True) and current(store) == {"a": "new"}
+    store.append(log(spark, [("d", 1, "late", 5)]))
+    assert current(store) == {"a": "new"}
+    assert store.compact(force=True) and current(store) == {"a": "new"} and store.manifest()["removed"] == 0
+
+
+def test_records_older_than_dropped_deletions_are_refused(spark, tmp_path):
+    store = RunStore(spark, f"file://{tmp_path}/s")
+    store.append(log(spark, [("a", 1, "x", 1), ("d", 2, None, 9)]))
+    assert store.compact(force=True, drop_deletions=True) and store.manifest()["removed"] == 1
+    with pytest.raises(ValueError):
+        store.append(log(spark, [("d", 1, "late", 5)]))
+    assert store.append(log(spark, [("d", 1, "again", 10)])) and current(store) == {"a": "x", "d": "again"}
+    assert len(list((tmp_path / "s" / "runs").iterdir())) == 3  # the refused run is gone, the merged one is kept for readers
+
+
+def test_readers_keep_what_they_began_with(spark, tmp_path):
+    store = RunStore(spark, f"file://{tmp_path}/s")
+    for i in range(3):
+        store.append(log(spark, [(f"k{i}", 1, "x", i)]))
+    before = store.read()
+    assert store.compact(force=True) and before.count() == 3
+    assert store.vacuum(0) >= 3 and len(store.manifest()["runs"]) == 1 and current(store) == {f"k{i}": "x" for i in range(3)}
+    assert len([p for p in (tmp_path / "s" / "manifests").iterdir() if p.suffix == ".json"]) == 1
+
+
+def test_two_streams_feed_one_store(spark, tmp_path):
+    store = RunStore(spark, f"file://{tmp_path}/s")
+    for i, key in enumerate("ab"):
+        log(spark, [(key, 1, key, i)]).write.parquet(f"file://{tmp_path}/in{i}")
+        stream = spark.readStream.schema(LOG).parquet(f"file://{tmp_path}/in{i}")
+        streaming.into_runs(stream, store, f"file://{tmp_path}/c{i}").awaitTermination()
+    assert current(store) == {"a": "a", "b": "b"}
+    stream = spark.readStream.schema(LOG).parquet(f"file://{tmp_path}/in0")
+    streaming.into_runs(stream, store, f"file://{tmp_path}/anew").awaitTermination()
+    assert current(store) == {"a": "a", "b": "b"} and len(store.manifest()["batches"]) == 3
+
+
+def test_an_empty_batch_makes_no_run(spark, tmp_path):
+    store = RunStore(spark, f"file://{tmp_path}/s")
+    assert store.append(log(spark, []), 0, "x") and not store.append(log(spark, [("a", 1, "x", 0)]), 0, "x")
+    assert store.manifest()["runs"] == [] and store.read().count() == 0 and not store.compact(force=True)
 
 
 def test_tombstones_count_as_removed(spark):
@@ -98,8 +168,18 @@ def test_exact_runs_follow_the_running_size(spark):
 
 def test_engine_and_command_lines(spark, tmp_path):
     e = Engine(spark, f"file://{tmp_path}/e")
-    out = e.run(["put  a   1  2 ", "GET a", "delete a", "get a", "bogus", "compact", "stats", "quit", "get a"])
-    assert out[1] == "1 2" and out[3] is None and out[5] is True and out[6]["num_sstables"] == 1 and len(out) == 7
+    out = e.run(["put  a   1  2 ", "GET a", "delete a", "get a", "bogus", "compact", "stats", "get", "help", "quit", "get a"])
+    assert [x.get("success") for x in out] == [True, None, True, None, None, True, None, None, None]
+    assert (out[1]["found"], out[1]["value"], out[3]["found"], out[3]["value"]) == (True, "1 2", False, None)
+    assert out[4]["error"] and out[7]["error"] == "usage: GET <key>" and "HELP" in out[8]["usage"]
+    assert (out[6]["num_sstables"], out[6]["keys_removed"], out[6]["total_compactions"]) == (0, 1, 1) and out[6]["last_compaction"].endswith("Z")
+    assert e.put("a", "again") == {"success": True, "error": None} and e.get("a")["value"] == "again"
+    assert e.store.manifest()["last"] == 2  # numbers go on after the last deletion was dropped
+    rows = spark.createDataFrame([("x", 1, "1", 0), ("x", 1, "2", 1), ("a", 2, None, 2)], "k string, op int, v string, at long")
+    assert e.write_all(rows)["success"] and e.get("x")["value"] == "2" and not e.get("a")["found"] and len(e.store.manifest()["runs"]) == 2
+    assert e.compact()["success"] and e.write_all(rows.withColumn("at", F.lit(-9).cast("long")))["error"]
+    empty = Engine(spark, f"file://{tmp_path}/none")
+    assert empty.compact()["success"] and not empty.get("a")["found"] and empty.stats()["num_sstables"] == 0
 
 
 def test_parse(spark):
@@ -127,10 +207,52 @@ def test_bloom_rates(spark):
     runs = spark.range(2000).select(F.lit(0).alias("tid"), F.concat(F.lit("key_"), "id").alias("k"))
     small_m, small_k = bloom.parameters(2000, 0.01)
     keys = spark.range(4000).select(F.concat(F.lit("key_"), "id").alias("k"))
-    got = bloom.probe(runs, keys, small_m, small_k).groupBy("present", "may_contain").count().collect()
-    counts = {(r["present"], r["may_contain"]): r["count"] for r in got}
-    assert (True, False) not in counts and counts[(True, True)] == 2000 and counts.get((False, True), 0) < 60
+    got = {r["present"]: r["count"] for r in bloom.probe(runs, keys, small_m, small_k).groupBy("present").count().collect()}
+    assert got[True] == 2000 and got.get(False, 0) < 60
     assert bloom.probe(runs.limit(0), keys, m, k).count() == 0
+    assert tuple(bloom.hit_miss(runs.limit(0), keys, m, k).first()) == (0, 0, 0.0)
+
+
+def test_bloom_bytes(spark):
+    m, k = bloom.parameters(1000, 0.01)
+    names = [f"test{i}" for i in range(1, 6)] + ["é漢"]
+    runs = spark.createDataFrame([(7, n) for n in names] + [(200, "other")], "tid long, k string")
+    whole = bloom.filters(bloom.bits(runs, m, k), m, k)
+    own = bytearray(-(-m // 8))
+    for n in names:
+        h1, h2 = _fnv(n.encode(), True), _fnv(n.encode(), False)
+        for i in range(k):
+            bit = (h1 + i * h2 & 0xFFFFFFFF) % m
+            own[bit // 8] |= 1 << bit % 8
+    assert bytes({r["tid"]: r["filter"] for r in whole.collect()}[7]) == struct.pack("<II", m, k) + bytes(own)
+    parsed = bloom.read_filters(whole.union(spark.createDataFrame([(9, b"short")], "tid long, filter binary")))
+    asked = spark.createDataFrame([(t, n) for t in (7, 200) for n in [*names, "absent", "other"]], "tid long, k string")
+    got = {(r["tid"], r["k"]): r["may_contain"] for r in bloom.may_contain(parsed, asked).collect()}
+    assert got == {(t, n): n in (names if t == 7 else ["other"]) for t in (7, 200) for n in [*names, "absent", "other"]}
+
+
+def test_bloom_over_more_than_64_runs(spark):
+    r = random.Random(2)
+    rows = [(t, f"k{r.randrange(60)}") for t in range(150) for _ in range(3)]
+    runs = spark.createDataFrame(sorted(set(rows)), "tid long, k string")
+    keys = spark.createDataFrame([(f"k{i}",) for i in range(80)], "k string")
+    m, k = 40, 2
+    own = {t: {b for x, n in rows if x == t for b in _bits(n, m, k)} for t in range(150)}
+    passes = {(t, f"k{i}") for t in range(150) for i in range(80) if set(_bits(f"k{i}", m, k)) <= own[t]}
+    got = bloom.probe(runs, keys, m, k).collect()
+    assert {(x["tid"], x["k"]) for x in got} == passes and {(x["tid"], x["k"]) for x in got if x["present"]} == set(rows)
+    hits = misses = 0
+    for i in range(80):
+        for t in range(149, -1, -1):
+            hits, misses = hits + ((t, f"k{i}") not in passes), misses + ((t, f"k{i}") in passes)
+            if (t, f"k{i}") in rows:
+                break
+    assert tuple(bloom.hit_miss(runs, keys, m, k).first())[:2] == (hits, misses)
+
+
+def _bits(name, m, k):
+    h1, h2 = _fnv(name.encode(), True), _fnv(name.encode(), False)
+    return [(h1 + i * h2 & 0xFFFFFFFF) % m for i in range(k)]
 
 
 def test_ring(spark):
@@ -143,6 +265,8 @@ def test_ring(spark):
     assert [r["node_id"] for r in lists if r["key"] == "test_key"] == ["node3", "node2", "node1"]
     assert [r["node_id"] for r in lists if r["key"] == "consistent_key"] == ["node1", "node3", "node2"]
     less = ring.vnodes(ring.nodes(spark, ["node1", "node3"]))
+    with pytest.raises(ValueError):
+        ring.locate(keys, F.col("key"), ring.arcs(three.limit(0)))
     moved = ring.rebalance(keys.limit(1000), F.col("key"), ring.arcs(three), ring.arcs(less)).collect()
     assert all(r["old_node"] == "node2" or r["old_node"] == r["new_node"] for r in moved)
 
@@ -211,6 +335,27 @@ def test_binary_formats(spark, tmp_path):
         list(binary.decode_table(struct.pack("<qqIII", 0, 0, 0, 0, 1)))
 
 
+def test_log_and_table_files(spark, tmp_path):
+    rows = random_log(5, n=80, keys=9)
+    logs = f"file://{tmp_path}/wal"
+    written = binary.write_logs(log(spark, rows).withColumn("ts_ns", F.col("seq") * 10).repartition(3), logs)
+    assert sum(r["n"] for r in written.collect()) == 80
+    got = binary.read_logs(spark, f"{logs}/*.log").collect()
+    assert sorted((r["ts_ns"] // 10, r["k"], r["op"], None if r["v"] is None else bytes(r["v"]).decode()) for r in got) == [(s, k, op, v) for k, op, v, s in rows]
+    binary.reset_logs(spark, logs)
+    assert not (tmp_path / "wal").exists()
+    runs = tiers.flush(log(spark, rows).withColumn("tid", F.expr("seq div 30")))
+    m, k = bloom.parameters(100, 0.01)
+    assert sorted(r["tid"] for r in binary.write_tables(runs, f"file://{tmp_path}/t", m, k).collect()) == [0, 1, 2]
+    assert {r["k"]: bytes(r["v"]).decode() for r in tiers.merge(binary.read_tables(spark, f"file://{tmp_path}/t/*.db")).collect()} == model(rows)
+    parsed = bloom.read_filters(binary.read_filters(spark, f"file://{tmp_path}/t/*.db"))
+    assert {r["may_contain"] for r in bloom.may_contain(parsed, runs.select("tid", "k")).collect()} == {True}
+    data = bytearray((tmp_path / "t" / "sstable_1.db").read_bytes())
+    data[struct.unpack_from(binary.FOOTER, data, len(data) - 28)[0] + 5] ^= 1
+    with pytest.raises(ValueError):
+        list(binary.decode_table(bytes(data)))
+
+
 def test_hint_files(spark, tmp_path):
     (tmp_path / "hints_node2.json").write_text('[\n {"target_node": "node2", "key": "k", "value": "dGV4dA==", "timestamp": 1, "version": 2, "created_at": "2024-01-01T00:00:00.1234567+01:00"}]')
     (tmp_path / "hints_bad.json").write_text("no json")
@@ -218,6 +363,39 @@ def test_hint_files(spark, tmp_path):
     assert [(r["target_node"], bytes(r["value"])) for r in got] == [("node2", b"text")]
 
 
+def test_hint_files_round_trip_by_node(spark, tmp_path):
+    def hints(rows):
+        return spark.createDataFrame([(n, k, i, op, v) for n, k, i, op, v in rows], "target_node string, k string, ver long, op int, v string").withColumn("created_at", F.timestamp_seconds("ver"))
+    path = f"file://{tmp_path}/h"
+    binary.write_hints(hints([("node2", "k1", 1, 1, "text"), ("node2", "k2", 2, 2, None), ("node2", "k3", 3, 1, "over"), ("node3", "k9", 9, 1, "é")]), path, cap=2)
+    binary.write_hints(hints([("node3", "k8", 8, 1, "new")]), path)
+    got = sorted((r["target_node"], r["key"], bytes(r["value"]).decode(), r["version"], r["timestamp"], r["created_at"].timestamp()) for r in binary.read_hints(spark, path).collect())
+    want = [("node2", "k1", "text", 1), ("node2", "k2", "__TOMBSTONE__", 2), ("node3", "k8", "new", 8)]
+    assert [x[:4] for x in got] == want and all(x[4] == x[3] * 10**6 and x[5] == x[3] for x in got)
+
+
+def test_step_down_and_messages_of_leaders(spark):
+    sent = spark.createDataFrame([("a", 1, 0), ("a", 3, 1), ("a", 2, 2), ("a", 3, 3), ("b", 2, 4), ("b", 1, 5)], "node string, term long, arrival long")
+    assert {r["arrival"]: r["success"] for r in election.append_entries(sent).collect()} == {0: True, 1: True, 2: False, 3: True, 4: True, 5: False}
+    assert {r["node"]: r["term"] for r in election.step_down(sent).collect()} == {"a": 3, "b": 2}
+    peers = spark.createDataFrame([("a",), ("b",)], "peer string")
+    assert [tuple(r) for r in election.leader_state(peers, 4).orderBy("peer").collect()] == [("a", 5, 0), ("b", 5, 0)]
+
+
+def test_service_calls_follow_a_dict(spark):
+    r, rows, held, want = random.Random(4), [], {}, {}
+    for i in range(200):
+        verb, key = r.choice(["PUT", "GET", "GET", "DELETE"]), f"k{r.randrange(8)}"
+        rows.append((i, verb, key, f"v{i}" if verb == "PUT" else None))
+        if verb == "PUT":
+            held[key] = f"v{i}"
+        elif verb == "DELETE":
+            held.pop(key, None)
+        want[i] = (None, key in held, held.get(key)) if verb == "GET" else (True, None, None)
+    got = fold.service_calls(spark.createDataFrame(rows, "seq long, verb string, key string, value string")).collect()
+    assert {x["seq"]: (x["success"], x["found"], x["got"]) for x in got} == want
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = random_log(11)
     for i in range(6):
@@ -235,7 +413,7 @@ def test_stream_in_any_order_equals_batch_over_compactions(spark, tmp_path):
     stream = spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
     streaming.into_runs(stream, store, f"file://{tmp_path}/c").awaitTermination()
     state = store.manifest()
-    assert state["compactions"] >= 1 and state["removed"] == 0
+    assert state["compactions"] >= 1 and state["removed"] == 0 and state["last"] == 119
     assert {r["k"]: r["v"] for r in store.current().collect()} == model(rows)
     assert {r["k"] for r in store.read().where("op = 2").collect()}
 

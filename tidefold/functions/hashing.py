@@ -16,16 +16,21 @@ def ring_hash(key: Column) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long")
 
 
-def _bytes(key: Column) -> Column:
-    digits = F.hex(F.encode(key, "UTF-8"))
-    n = F.octet_length(key)
-    at = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.conv(F.substring(digits, 2 * i - 1, F.lit(2)), 16, 10).cast("long"))
+def fnv_pair(key: Column) -> Column:
+    """(h1, h2): FNV-1 and FNV-1a of the UTF-8 bytes, in one pass over them. Read as Latin-1, bytes are characters."""
+    letters = F.split(F.decode(F.encode(key, "UTF-8"), "ISO-8859-1"), "")
+    first = F.struct(F.lit(FNV_BASIS).cast("long").alias("h1"), F.lit(FNV_BASIS).cast("long").alias("h2"))
+
+    def step(h: Column, c: Column) -> Column:
+        byte = F.ascii(c)
+        return F.struct((h["h1"] * FNV_PRIME).bitwiseAND(F.lit(UINT32)).bitwiseXOR(byte).alias("h1"), (h["h2"].bitwiseXOR(byte) * FNV_PRIME).bitwiseAND(F.lit(UINT32)).alias("h2"))
+
+    return F.when(key == "", first).otherwise(F.aggregate(letters, first, step))
 
 
 def fnv1(key: Column) -> Column:
-    return F.aggregate(_bytes(key), F.lit(FNV_BASIS).cast("long"), lambda h, b: (h * FNV_PRIME).bitwiseAND(F.lit(UINT32)).bitwiseXOR(b))
+    return fnv_pair(key)["h1"]
 
 
 def fnv1a(key: Column) -> Column:
-    return F.aggregate(_bytes(key), F.lit(FNV_BASIS).cast("long"), lambda h, b: (h.bitwiseXOR(b) * FNV_PRIME).bitwiseAND(F.lit(UINT32)))
+    return fnv_pair(key)["h2"]

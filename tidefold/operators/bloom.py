@@ -1,15 +1,24 @@
-"""Bloom filters as relations: parameters, bits, probes and counters."""
+"""Bloom filters as relations: parameters, bits, bytes, probes and counters.
+
+A key is tested against 64 runs at a time: for each bit, a number tells which of 64
+runs have it set, and the conjunction over a key's bits tells which runs may hold it.
+Pairs of key and run come up only where the filter passes.
+"""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidefold.functions.hashing import fnv1, fnv1a
+from tidefold.functions.hashing import fnv_pair
 from tidefold.plans.model import BLOOM_KEYS, BLOOM_RATE, UINT32
 
+ABREAST = 64
+#: Bytes of a filter that are put together as one number.
+WORD = 7
+
 
 def parameters(n: int = BLOOM_KEYS, p: float = BLOOM_RATE) -> tuple[int, int]:
     """(bits, hash functions) for n keys at a rate p of false positives."""
@@ -24,15 +33,19 @@ def parameter_table(cases: DataFrame) -> DataFrame:
     return cases.withColumn("m", m.cast("long")).withColumn("k", F.ceil(F.col("m").cast("double") / n * F.log(F.lit(2.0))).cast("long"))
 
 
-def positions(key: Column, m: int, k: int) -> Column:
-    """The different bits of a key: h1 + i * h2 in 32 bits, modulo m."""
-    both = F.array(fnv1(key), fnv1a(key))
-    return F.array_distinct(F.flatten(F.transform(F.array(both), lambda h: F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: (h[0] + i * h[1]).bitwiseAND(F.lit(UINT32)) % m))))
+def _hashed(df: DataFrame) -> DataFrame:
+    """df with h, the two hashes of k."""
+    return df.withColumn("h", fnv_pair(F.col("k")))
+
+
+def _places(m: int, k: int) -> Column:
+    """The different bits of a key with hashes h: h1 + i * h2 in 32 bits, modulo m."""
+    return F.array_distinct(F.array(*[(F.col("h.h1") + F.col("h.h2") * i).bitwiseAND(F.lit(UINT32)) % m for i in range(k)]))
 
 
 def bits(runs: DataFrame, m: int, k: int) -> DataFrame:
     """(tid, bit): the bits set in each run's filter."""
-    return runs.select("tid", F.explode(positions(F.col("k"), m, k)).alias("bit")).distinct()
+    return _hashed(runs.select("tid", "k")).select("tid", F.explode(_places(m, k)).alias("bit")).distinct()
 
 
 def stats(set_bits: DataFrame, m: int, k: int) -> DataFrame:
@@ -41,26 +54,82 @@ def stats(set_bits: DataFrame, m: int, k: int) -> DataFrame:
     return set_bits.groupBy("tid").agg(F.count("*").alias("bits_set"), F.round(fill, 6).alias("fill"), F.round(F.pow(fill, F.lit(float(k))), 6).alias("fpr"))
 
 
+def _little(x: int) -> str:
+    return x.to_bytes(4, "little").hex()
+
+
+def filters(set_bits: DataFrame, m: int, k: int) -> DataFrame:
+    """(tid, filter): each run's filter as bytes: m and k as 32-bit numbers, then the bits, the lowest of a byte first."""
+    size = -(-m // 8)
+    words = set_bits.select("tid", F.expr(f"(bit div 8) div {WORD}").alias("word"), F.expr("shiftleft(1L, cast(8 * (%d - (bit div 8) %% %d) + bit %% 8 as int))" % (WORD - 1, WORD)).alias("x"))
+    blank = set_bits.select("tid").distinct().select("tid", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(-(-size // WORD) - 1).cast("long"))).alias("word"), F.lit(0).cast("long").alias("x"))
+    whole = words.union(blank).groupBy("tid", "word").agg(F.bit_or("x").alias("x"))
+    parts = whole.groupBy("tid").agg(F.array_sort(F.collect_list(F.struct("word", F.lpad(F.hex("x"), 2 * WORD, "0").alias("x")))).alias("parts"))
+    digits = F.substring(F.array_join(F.transform("parts", lambda p: p["x"]), ""), 1, 2 * size)
+    return parts.select("tid", F.unhex(F.concat(F.lit(_little(m) + _little(k)), digits)).alias("filter"))
+
+
+def _number(data: Column, at: int) -> Column:
+    """The 32-bit number at a byte, the lowest byte first."""
+    return sum((F.conv(F.hex(F.substring(data, at + 1 + i, 1)), 16, 10).cast("long") * (1 << (8 * i)) for i in range(4)), F.lit(0).cast("long"))
+
+
+def read_filters(rows: DataFrame) -> DataFrame:
+    """(tid, m, k, bytes) of filters (tid, filter); those shorter than their head are left out."""
+    return rows.where(F.octet_length("filter") >= 8).select("tid", _number(F.col("filter"), 0).alias("m"), _number(F.col("filter"), 4).alias("k"), F.expr("substring(filter, 9)").alias("bytes"))
+
+
+def may_contain(parsed: DataFrame, keys: DataFrame) -> DataFrame:
+    """(tid, k, may_contain) of a few filters as read_filters() gives them, and keys (tid, k) that are asked of each."""
+    asked = _hashed(keys).join(parsed.withColumnRenamed("k", "hashes"), "tid")
+    places = F.transform(F.sequence(F.lit(0).cast("long"), F.col("hashes") - 1), lambda i: (F.col("h.h1") + F.col("h.h2") * i).bitwiseAND(F.lit(UINT32)) % F.col("m"))
+    byte = lambda b: F.conv(F.hex(F.substring(F.col("bytes"), (F.shiftright(b, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    there = F.forall(places, lambda b: F.getbit(byte(b), (b % 8).cast("int")) == 1)
+    return asked.select("tid", "k", there.alias("may_contain"))
+
+
+def _abreast(tid: Column) -> tuple[Column, Column]:
+    """(which 64 runs, the bit of a run among them)."""
+    return F.expr(f"tid div {ABREAST}"), F.expr(f"shiftleft(1L, cast(tid % {ABREAST} as int))")
+
+
+def passing(runs: DataFrame, keys: DataFrame, m: int, k: int) -> DataFrame:
+    """(k, part, let): for keys (k, distinct), which of the 64 runs of a part let the key pass, as bits; parts where none does are left out."""
+    part, own = _abreast(F.col("tid"))
+    slices = bits(runs, m, k).select(part.alias("part"), "bit", own.alias("own")).groupBy("part", "bit").agg(F.bit_or("own").alias("has"))
+    asked = _hashed(keys.select("k")).select("k", _places(m, k).alias("ps"))
+    asked = asked.select("k", F.size("ps").alias("n"), F.explode("ps").alias("bit"))
+    found = asked.join(slices, "bit").groupBy("k", "part").agg(F.bit_and("has").alias("let"), F.count("*").alias("met"), F.first("n").alias("n"))
+    return found.where("met = n AND let <> 0").select("k", "part", "let")
+
+
 def probe(runs: DataFrame, keys: DataFrame, m: int, k: int) -> DataFrame:
-    """(tid, k, may_contain, present) for every run and key of keys (k, distinct).
+    """(tid, k, present) for every run whose filter lets a key of keys (k, distinct) pass; all other runs don't hold it."""
+    let = passing(runs, keys, m, k)
+    places = F.filter(F.sequence(F.lit(0), F.lit(ABREAST - 1)), lambda i: F.getbit("let", i) == 1)
+    pairs = let.select("k", "part", F.explode(places).alias("i")).select((F.col("part") * ABREAST + F.col("i")).alias("tid"), "k")
+    return pairs.join(runs.select("tid", "k", F.lit(True).alias("there")), ["tid", "k"], "left").select("tid", "k", F.coalesce("there", F.lit(False)).alias("present"))
+
+
+def hit_miss(runs: DataFrame, keys: DataFrame, m: int, k: int) -> DataFrame:
+    """(hits, misses, hit_rate) of reads that go from the newest run on and stop where the key is: a skipped run is a hit, a searched one a miss.
 
-    A key passes a run's filter if all its bits are set there. Only set bits that a key
-    asks for are joined; pairs of run and key that share none are filled in from the
-    runs' ids, which are few.
+    No pair of key and run is listed: runs are counted by bits, from the newest down to the one that has the key.
     """
-    asked = keys.select("k", positions(F.col("k"), m, k).alias("ps"))
-    wanted = asked.select("k", F.size("ps").alias("n"), F.explode("ps").alias("bit"))
-    passed = wanted.join(bits(runs, m, k), "bit").groupBy("tid", "k", "n").count().where("count = n").select("tid", "k", F.lit(True).alias("may"))
-    ids = F.broadcast(runs.agg(F.array_sort(F.collect_set("tid")).alias("tids")))
-    every = keys.select("k").join(ids).select("k", F.explode("tids").alias("tid"))
-    there = runs.select("tid", "k", F.lit(True).alias("there"))
-    return every.join(passed, ["tid", "k"], "left").join(there, ["tid", "k"], "left").select("tid", "k", F.coalesce("may", F.lit(False)).alias("may_contain"), F.coalesce("there", F.lit(False)).alias("present"))
-
-
-def hit_miss(probed: DataFrame) -> DataFrame:
-    """(hits, misses, hit_rate) of reads that go from the newest run on and stop where the key is: a skipped run is a hit, a searched one a miss."""
-    newest = probed.where("present").groupBy("k").agg(F.max("tid").alias("at"))
-    seen = probed.join(newest, "k", "left").where("at IS NULL OR tid >= at")
-    hits, misses = F.count(F.when(~F.col("may_contain"), 1)), F.count(F.when(F.col("may_contain"), 1))
-    rate = F.when(hits + misses > 0, F.round(hits.cast("double") / (hits + misses) * 100, 6)).otherwise(0.0)
-    return seen.agg(hits.alias("hits"), misses.alias("misses"), rate.alias("hit_rate"))
+    part, own = _abreast(F.col("tid"))
+    there = runs.select("tid").distinct().groupBy(part.alias("part")).agg(F.bit_or(own).alias("all"))
+    newer = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)  # one row for 64 runs
+    there = there.select("part", "all", F.coalesce(F.sum(F.bit_count("all")).over(newer), F.lit(0)).alias("newer"))
+    from_ = F.expr(f"shiftleft(-1L, cast(at % {ABREAST} as int))")
+    newest = runs.select("k", "tid").join(keys.select("k"), "k").groupBy("k").agg(F.max("tid").alias("at")).withColumn("first", F.expr(f"at div {ABREAST}"))
+    held = newest.join(there, F.col("first") == F.col("part")).agg(F.count("*").alias("n"), F.sum(F.col("newer") + F.bit_count(F.col("all").bitwiseAND(from_))).alias("seen"))
+    let = passing(runs, keys, m, k).join(newest, "k", "left")
+    bits_ = F.when(F.col("at").isNull() | (F.col("part") > F.col("first")), F.col("let")).when(F.col("part") == F.col("first"), F.col("let").bitwiseAND(from_)).otherwise(0)
+    searched = let.agg(F.coalesce(F.sum(F.bit_count(bits_)), F.lit(0)).alias("misses"))
+    total = there.agg(F.coalesce(F.sum(F.bit_count("all")), F.lit(0)).alias("runs"))
+    names = ["misses", "n", "seen", "runs", "keys"]
+    parts = [t.select(*[F.col(c) if c in t.columns else F.lit(0).alias(c) for c in names]) for t in (searched, held, total, keys.agg(F.count("*").alias("keys")))]
+    rows = parts[0].union(parts[1]).union(parts[2]).union(parts[3]).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names])
+    hits = F.col("seen") + (F.col("keys") - F.col("n")) * F.col("runs") - F.col("misses")
+    rate = F.when(F.col("hits") + F.col("misses") > 0, F.round(F.col("hits").cast("double") / (F.col("hits") + F.col("misses")) * 100, 6)).otherwise(0.0)
+    return rows.select(hits.alias("hits"), "misses").select("hits", "misses", rate.alias("hit_rate"))

@@ -51,6 +51,23 @@ def leaders_per_term(tallied: DataFrame) -> DataFrame:
     return tallied.groupBy("term").agg(F.count_if("won").alias("leaders"))
 
 
+def append_entries(sent: DataFrame) -> DataFrame:
+    """sent (node, term, arrival, ...) with success: whether the node takes a leader's message, that is, has seen no later term before.
+
+    As for votes, what closes a term is found from one row for each node and term.
+    """
+    terms = sent.groupBy("node", "term").agg(F.min("arrival").alias("opened"))
+    later = Window.partitionBy("node").orderBy(F.desc("term")).rowsBetween(Window.unboundedPreceding, -1)
+    terms = terms.select("node", "term", F.min("opened").over(later).alias("closed"))
+    return sent.join(terms, ["node", "term"]).select(*sent.columns, (F.col("closed").isNull() | (F.col("arrival") < F.col("closed"))).alias("success"))
+
+
+def heartbeats(tallied: DataFrame, peers: DataFrame) -> DataFrame:
+    """(node, term, leader): the empty message that the winner of each term sends to every other node of a cluster's peers (peer)."""
+    won = tallied.where("won").select("term", F.col("candidate").alias("leader"))
+    return peers.select(F.col("peer").alias("node")).join(won, F.col("node") != F.col("leader")).select("node", "term", "leader")
+
+
 def step_down(seen: DataFrame) -> DataFrame:
     """(node, term): the highest term each node has seen, in which it is a follower."""
     return seen.groupBy("node").agg(F.max("term").alias("term"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidefold.plans.model import DELETE, ENTRY_OVERHEAD, PUT, TOMBSTONE_BYTES
@@ -31,6 +31,24 @@ def latest(log: DataFrame) -> DataFrame:
     return live(newest(log.select("k", "op", "v", "seq"), "k")).select("k", "v", "seq")
 
 
+def latest_by_aggregates(log: DataFrame) -> DataFrame:
+    """As latest(), by one aggregate for each column."""
+    return log.groupBy("k").agg(F.max_by("op", "seq").alias("op"), F.max_by("v", "seq").alias("v"), F.max("seq").alias("seq")).where(F.col("op") == PUT).select("k", "v", "seq")
+
+
+def service_calls(calls: DataFrame) -> DataFrame:
+    """calls (seq, verb, key, value) in order of seq, each with what the store answers then: success (put, delete), found and got (get).
+
+    A GET sees the last PUT or DELETE of its key before it.
+    """
+    before = Window.partitionBy("key").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    write = F.when(F.col("verb").isin("PUT", "DELETE"), F.struct((F.col("verb") == "PUT").alias("there"), F.col("value").alias("v")))
+    last, get = F.last(write, ignorenulls=True).over(before), F.col("verb") == "GET"
+    seen = calls.select("*", last.alias("last"))
+    found = F.coalesce(F.col("last.there"), F.lit(False))
+    return seen.select("seq", "verb", "key", F.when(~get, F.lit(True)).alias("success"), F.when(get, found).alias("found"), F.when(get & found, F.col("last.v")).alias("got"))
+
+
 def point_get(log: DataFrame, key: str) -> DataFrame:
     """(k, v, found), one row; the key's filter reaches the scan."""
     one = log.where(F.col("k") == key).agg(F.max_by(F.struct("op", "v"), "seq").alias("r"))

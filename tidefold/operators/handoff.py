@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidefold.operators.fold import newest
 from tidefold.plans.model import HINT_AGE_HOURS, HINT_CAP
 
 _ORDER = ["created_at", "ver"]
@@ -50,6 +51,6 @@ def clear(hints: DataFrame, node: str) -> DataFrame:
 
 
 def replay(replicas: DataFrame, hints: DataFrame) -> DataFrame:
-    """(n, k, ver): replicas after their hints are delivered; the newest version stays."""
-    late = hints.select(F.regexp_extract("target_node", r"(\d+)$", 1).cast("int").alias("n"), "k", "ver")
-    return replicas.select("n", "k", "ver").unionByName(late).groupBy("n", "k").agg(F.max("ver").alias("ver"))
+    """(n, k, ver, op, v): replicas after their hints are delivered; the newest version stays."""
+    late = hints.select(F.regexp_extract("target_node", r"(\d+)$", 1).cast("int").alias("n"), "k", "ver", "op", "v")
+    return newest(replicas.select("n", "k", "ver", "op", "v").unionByName(late), "n", "k", by="ver")

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidefold.plans.model import READ_QUORUM, REPLICAS, WRITE_QUORUM
+from tidefold.operators.fold import newest
+from tidefold.operators.ring import preference_list
+from tidefold.plans.model import PUT, READ_QUORUM, REPLICAS, WRITE_QUORUM
 
 
 def attempts(log: DataFrame, replicas: int = REPLICAS) -> DataFrame:
@@ -40,22 +42,48 @@ def states(tried: DataFrame) -> DataFrame:
 
 
 def quorum_read(replicas: DataFrame, quorum: int = READ_QUORUM) -> DataFrame:
-    """(k, latest, replicas, status, needs_repair) for every key that any replica holds; latest is null without a quorum."""
+    """(k, latest, v, found, replicas, status, needs_repair) for every key that any replica holds.
+
+    v is the value of the newest version, found whether that is a value at all; without
+    a quorum latest, v and found are null.
+    """
     ok = F.count("*") >= quorum
+    top = F.max_by(F.struct("op", "v"), "ver")
     return replicas.groupBy("k").agg(
-        F.when(ok, F.max("ver")).alias("latest"), F.count("*").alias("replicas"), F.when(ok, "ok").otherwise("quorum_not_reached").alias("status"),
-        (ok & (F.min("ver") != F.max("ver"))).alias("needs_repair"),
+        F.when(ok, F.max("ver")).alias("latest"), F.when(ok & (top["op"] == PUT), top["v"]).alias("v"), F.when(ok, top["op"] == PUT).alias("found"), F.count("*").alias("replicas"),
+        F.when(ok, "ok").otherwise("quorum_not_reached").alias("status"), (ok & (F.min("ver") != F.max("ver"))).alias("needs_repair"),
     )
 
 
 def outdated(replicas: DataFrame, quorum: int = 1) -> DataFrame:
-    """(n, k, ver, latest): replicas behind the newest version of keys that at least `quorum` replicas hold."""
-    top = replicas.groupBy("k").agg(F.max("ver").alias("latest"), F.count("*").alias("held"))
-    return replicas.join(top, "k").where((F.col("ver") < F.col("latest")) & (F.col("held") >= quorum)).select("n", "k", "ver", "latest")
+    """(n, k, ver, latest, op, v): replicas behind the newest version of keys that at least `quorum` replicas hold, and that version's record."""
+    top = replicas.groupBy("k").agg(F.max("ver").alias("latest"), F.max_by(F.struct("op", "v"), "ver").alias("r"), F.count("*").alias("held"))
+    return replicas.select("n", "k", "ver").join(top, "k").where((F.col("ver") < F.col("latest")) & (F.col("held") >= quorum)).select("n", "k", "ver", "latest", "r.op", "r.v")
 
 
 def read_repair_writes(replicas: DataFrame, quorum: int = READ_QUORUM) -> DataFrame:
-    return outdated(replicas, quorum)
+    """(n, k, ver, op, v): the records to write to replicas that a quorum read found behind."""
+    return outdated(replicas, quorum).select("n", "k", F.col("latest").alias("ver"), "op", "v")
+
+
+def repaired(replicas: DataFrame, writes: DataFrame) -> DataFrame:
+    """(n, k, ver, op, v): replicas after records were written to them; the newest version stays."""
+    return newest(replicas.select("n", "k", "ver", "op", "v").unionByName(writes.select("n", "k", "ver", "op", "v")), "n", "k", by="ver")
+
+
+def routed(log: DataFrame, ring: DataFrame) -> DataFrame:
+    """attempts() along each key's preference list on a ring of nodes with numbered names: with node_id, and n its number."""
+    each = preference_list(log, F.col("k"), ring).drop("h").withColumn("n", F.regexp_extract("node_id", r"(\d+)$", 1).cast("int"))
+    return each.withColumn("success", (F.col("seq") * 7 + F.col("n") * 3) % 10 >= 3)
+
+
+def cluster_put(tried: DataFrame, quorum: int = WRITE_QUORUM) -> DataFrame:
+    """(seq, k, replicas, acks, status, hinted): the outcome of each routed write; hinted are the nodes for which a hint is kept, in order of the list."""
+    listed = F.array_sort(F.collect_list(F.struct("pos", "node_id", "success")))
+    acks = F.count_if("success")
+    each = tried.groupBy("seq", "k").agg(listed.alias("all"), acks.alias("acks"), F.when(acks >= quorum, "ok").otherwise("quorum_not_reached").alias("status"))
+    names = lambda nodes: F.array_join(F.transform(nodes, lambda x: x["node_id"]), ",")
+    return each.select("seq", "k", names(F.col("all")).alias("replicas"), "acks", "status", names(F.filter("all", lambda x: ~x["success"])).alias("hinted"))
 
 
 def placement(located: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ doesn't grow with the ring.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidefold.functions.hashing import ring_hash
@@ -16,8 +17,14 @@ from tidefold.plans.model import UINT32, VIRTUAL_NODES
 CELL_BITS = 20
 
 
+def _local(spark: SparkSession, rows: list[tuple], **kinds) -> DataFrame:
+    """A small table held in the plan."""
+    cols = list(zip(*rows)) or [()] * len(kinds)
+    return spark.createDataFrame(pa.table({name: pa.array(c, kind) for c, (name, kind) in zip(cols, kinds.items())}))
+
+
 def nodes(spark: SparkSession, names: list[str]) -> DataFrame:
-    return spark.createDataFrame([(n,) for n in names], "node_id string")
+    return _local(spark, [(n,) for n in names], node_id=pa.string())
 
 
 def vnodes(members: DataFrame, count: int = VIRTUAL_NODES) -> DataFrame:
@@ -27,32 +34,41 @@ def vnodes(members: DataFrame, count: int = VIRTUAL_NODES) -> DataFrame:
     return each.select("node_id", ring_hash(F.concat("node_id", F.lit("-vnode-"), F.col("i").cast("string"))).alias("vhash")).groupBy("vhash").agg(F.max("node_id").alias("node_id"))
 
 
-def _ahead(places: DataFrame, n: int) -> DataFrame:
-    """(vhash, node_id, pref): the first n different nodes from each place on, clockwise."""
-    if n == 1:
-        return places.select("vhash", "node_id", F.array("node_id").alias("pref"))
-    total = places.select("node_id").distinct().count()
-    want, look = min(n, total), 8 * n
-    twice = places.select("vhash", "node_id", F.col("vhash").alias("at")).union(places.select("vhash", "node_id", F.col("vhash") + UINT32 + 1))
-    while True:
-        ring = Window.orderBy("at").rowsBetween(0, look)
-        out = twice.select("*", F.slice(F.array_distinct(F.collect_list("node_id").over(ring)), 1, want).alias("pref")).where(F.col("at") <= UINT32).drop("at")
-        if out.where(F.size("pref") < want).isEmpty():
-            return out
-        look *= 4
-
-
 def arcs(places: DataFrame, n: int = 1) -> DataFrame:
-    """(lo, hi, node_id, pref): positions above lo up to hi belong to node_id."""
-    ring = Window.orderBy("vhash")
-    whole = Window.orderBy("vhash").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = _ahead(places, n).select("node_id", "pref", F.coalesce(F.lag("vhash").over(ring), F.lit(-1)).alias("lo"), F.col("vhash").alias("hi"), F.max("vhash").over(whole).alias("top"))
-    wrap = rows.where("lo = -1 AND top < 4294967295").select(F.col("top").alias("lo"), F.lit(UINT32).alias("hi"), "node_id", "pref")
-    return rows.select("lo", "hi", "node_id", "pref").union(wrap)
+    """(lo, hi, node_id, pref): positions above lo up to hi belong to node_id; pref are the first n different nodes from there on, clockwise.
+
+    The places are collected: a ring has as many as its nodes have virtual ones, whatever
+    it holds. The table of arcs is then known when queries over it are planned.
+    """
+    ring = sorted((r["vhash"], r["node_id"]) for r in places.select("vhash", "node_id").collect())
+    total = len({node for _, node in ring})
+    rows: list[tuple[int, int, str, list[str]]] = []
+    ahead: list[str] = []
+    for at in range(2 * len(ring) - 1, -1, -1):  # twice around, backwards: a node's next place is always known
+        vhash, node = ring[at % len(ring)]
+        ahead = [node, *(x for x in ahead if x != node)][:total]
+        if at < len(ring):
+            rows.append((ring[at - 1][0] if at else -1, vhash, node, ahead[:n]))
+    if ring and ring[-1][0] < UINT32:
+        rows.append((ring[-1][0], UINT32, rows[-1][2], rows[-1][3]))
+    return _local(places.sparkSession, rows, lo=pa.int64(), hi=pa.int64(), node_id=pa.string(), pref=pa.list_(pa.string()))
+
+
+def merged(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(lo, hi, old_node, new_node): the arcs of two rings over each other."""
+    one, two = (sorted((r["hi"], r["lo"], r["node_id"]) for r in ring.select("lo", "hi", "node_id").collect()) for ring in (before, after))
+    cuts = sorted({hi for ring in (one, two) for hi, _, _ in ring})
+    rows, lo, i, j = [], -1, 0, 0
+    for hi in cuts if one and two else []:
+        rows.append((lo, hi, one[i][2], two[j][2]))
+        lo, i, j = hi, i + (one[i][0] == hi), j + (two[j][0] == hi)
+    return _local(before.sparkSession, rows, lo=pa.int64(), hi=pa.int64(), old_node=pa.string(), new_node=pa.string())
 
 
 def locate(keys: DataFrame, key: Column, ring: DataFrame) -> DataFrame:
-    """keys with h (their position) and node_id and pref of the arc they lie on; an empty ring finds nothing."""
+    """keys with h (their position) and what the arc they lie on has. ValueError for a ring without arcs."""
+    if ring.isEmpty():
+        raise ValueError("the ring has no nodes")
     cells = ring.select("*", F.explode(F.sequence(F.shiftright(F.greatest(F.col("lo") + 1, F.lit(0)), CELL_BITS), F.shiftright("hi", CELL_BITS))).alias("cell"))
     at = keys.withColumn("h", ring_hash(key))
     return at.join(cells, (F.shiftright("h", CELL_BITS) == F.col("cell")) & (F.col("h") > F.col("lo")) & (F.col("h") <= F.col("hi"))).drop("cell", "lo", "hi")
@@ -64,9 +80,8 @@ def preference_list(keys: DataFrame, key: Column, ring: DataFrame) -> DataFrame:
 
 
 def rebalance(keys: DataFrame, key: Column, before: DataFrame, after: DataFrame) -> DataFrame:
-    """(old_node, new_node, n): where keys lie on two rings."""
-    old = locate(keys, key, before).withColumnRenamed("node_id", "old_node").drop("pref", "h")
-    return locate(old, key, after).groupBy("old_node", F.col("node_id").alias("new_node")).agg(F.count("*").alias("n"))
+    """(old_node, new_node, n): where keys lie on two rings; one look-up for both."""
+    return locate(keys.select(key.alias("key")), F.col("key"), merged(before, after)).groupBy("old_node", "new_node").agg(F.count("*").alias("n"))
 
 
 class Registry:
@@ -95,12 +110,15 @@ class Registry:
         return len(self.known)
 
     def table(self) -> DataFrame:
-        return self.spark.createDataFrame(list(self.known.items()), "node_id string, address string")
+        return _local(self.spark, list(self.known.items()), node_id=pa.string(), address=pa.string())
 
     def ring(self, n: int = 1) -> DataFrame:
         if not self.known:
             raise ValueError("the ring has no nodes")
         return arcs(vnodes(self.table(), self.virtual), n)
 
+    def nodes(self) -> list[str]:
+        return sorted(self.known)
+
     def for_keys(self, keys: DataFrame, key: Column) -> DataFrame:
         return locate(keys, key, self.ring()).drop("pref", "h").join(F.broadcast(self.table()), "node_id")

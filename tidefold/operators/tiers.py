@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidefold.operators import bloom
 from tidefold.operators.fold import live, newest, value_bytes
 from tidefold.plans.model import COMPACTION_TRIGGER, DELETE, MEMTABLE_BYTES, PUT
 
@@ -98,12 +99,19 @@ def exact_runs(log: DataFrame, limit: int = MEMTABLE_BYTES) -> DataFrame:
     return sized.groupBy("all").applyInPandas(walk, "seq long, tid long")
 
 
-def store_stats(log: DataFrame) -> DataFrame:
-    """One row: the newest run counts as memory table, the others as files."""
+def store_stats(log: DataFrame, asked: DataFrame, m: int, k: int) -> DataFrame:
+    """One row: the newest run counts as memory table, the others as files; filters count for reading the keys asked (k, distinct).
+
+    Merging all runs is counted as one compaction if there are enough of them, at the time of the last record.
+    """
     runs = flush(log)
-    last = log.agg(F.max("tid").alias("last"))
     size = F.octet_length("k") + value_bytes(F.col("v")) + 8
-    tiers = runs.join(F.broadcast(last)).agg(
-        F.coalesce(F.sum(F.when(F.col("tid") == F.col("last"), size)), F.lit(0)).alias("memtable_size"), F.count_distinct(F.when(F.col("tid") < F.col("last"), F.col("tid"))).alias("num_sstables")
-    )
-    return tiers.join(F.broadcast(merge_stats(runs).select("keys_removed", "bytes_reclaimed")))
+    by_run = runs.groupBy("tid").agg(F.sum(size).alias("size"))
+    tables = by_run.agg(F.coalesce(F.max_by("size", "tid"), F.lit(0)).alias("memtable_size"), F.greatest(F.count("*") - 1, F.lit(0)).alias("num_sstables"))
+    counters = bloom.hit_miss(runs, asked, m, k).select(F.col("hits").alias("bloom_filter_hits"), F.col("misses").alias("bloom_filter_misses"))
+    merged = merge_stats(runs).select("keys_removed", "bytes_reclaimed")
+    last = log.agg(F.date_format(F.max("ts"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("last_compaction"))
+    out = tables
+    for one in (counters, merged, last):  # of one row each
+        out = out.join(F.broadcast(one))
+    return out.withColumn("total_compactions", (F.col("num_sstables") > COMPACTION_TRIGGER).cast("long"))
