@@ -150,18 +150,45 @@ def test_components(spark):
 # --- 3: WARC -------------------------------------------------------------------------------
 
 
+def keys(spark, *urls):
+    return spark.createDataFrame([(u,) for u in urls], "url string").select(warc.capture_key(F.col("url")).alias("key"))
+
+
 def test_warc_round_trip_and_look_up(spark):
     big = "x" * 300
     rows = [(1, "http://www.b.org/P?q#f", big), (0, "http://a.com/", big), (2, "http://a.com/", "short"), (3, None, None), (4, "http://a.com/\r\nX: y", "short"), (5, "http://c.net/é", "é" * 100), (None, "http://a.com/", big), (0, "http://a.com/", big)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"first": F.lit(9), "digest": F.lit("clash")})
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"first": F.lit(9), "digest": F.lit("clash"), "key": F.lit("clash")})
     path = shared.new_path(spark, "test")
-    warc.write_archives(pages, path)
-    index = warc.build_index(spark, path)
-    got = sorted((str(r["page_id"]), r["payload_bytes"], r["record_type"], r["refers_to"], None if r["payload"] is None else bytes(r["payload"]).decode()) for r in warc.read_all(spark, index, path, payload=True).collect())
+    captures = warc.write_archives(pages, path, most=200)
+    assert captures.select("file").distinct().count() > 2  # archives are bounded by bytes
+    index = warc.build_index(captures, f"{path}-index")
+    asked = pages.select(warc.capture_key(F.col("url")).alias("key"))
+    got = sorted((str(r["page_id"]), r["payload_bytes"], r["record_type"], r["refers_to"], None if r["payload"] is None else bytes(r["payload"]).decode()) for r in warc.read_records(warc.look_up(index, asked), payload=True).collect())
     assert got == sorted([("1", 300, "revisit", 0, None), ("0", 300, "response", None, big), ("0", 300, "response", None, big), ("2", 5, "response", None, "short"), ("3", 0, "response", None, ""), ("4", 5, "response", None, "short"), ("5", 200, "response", None, "é" * 100), ("None", 300, "revisit", 0, None)])
-    found = warc.look_up(spark, index, "https://A.com/#x")
+    found = warc.read_records(warc.look_up(index, keys(spark, "https://A.com/#x", "HTTP://user@www2.a.com:80/", "http://nowhere.com/", "zzz://zzz/"))).collect()
     assert sorted(str(f["page_id"]) for f in found) == ["0", "0", "2", "None"]
-    assert warc.look_up(spark, index, "http://nowhere.com/") == []
+    assert sorted(map(str, warc.scan_archives(spark, path).collect())) == sorted(map(str, captures.collect()))
+
+
+def test_capture_keys(spark):
+    urls = {"http://www.B.org:80/P?q#f": "org,b)/p?q", "x://u:p@a.b.c": "c,b,a)", None: ")", "no scheme": ")", "http://h?x": "h)?x", "http://a/ b%20C": "a)/bc", "http://a/" + "y" * 2000: None}
+    got = [r["key"] for r in keys(spark, *urls).collect()]
+    assert got[:-1] == list(urls.values())[:-1] and len(got[-1]) == warc.KEY_CHARS + 65
+
+
+def test_index_of_many_blocks_and_a_key_that_is_everywhere(spark):
+    r = random.Random(3)
+    rows = [("hot)/" if r.random() < 0.4 else f"k{r.randrange(300)})/", i, "f", i * 10, 10) for i in range(3000)]
+    captures = spark.createDataFrame(rows, warc.CAPTURE).repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    index = warc.build_index(captures, shared.new_path(spark, "test"), 50)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    directory = index.directory.collect()
+    assert len(directory) >= 60 and sum(d["lines"] for d in directory) == 3000 and all(d["first_key"] <= d["last_key"] for d in directory)
+    assert len([1 for low, high, _ in index.bounds if low <= "hot)/" <= high]) > 1
+    asked = ["hot)/", "k7)/", "k299)/", "a)/", "zz)/"] + [f"k{i})/" for i in range(100, 200)]
+    got = warc.look_up(index, spark.createDataFrame([(k,) for k in [*asked, None, "hot)/"]], "key string")).collect()
+    assert sorted(map(tuple, got)) == sorted(x for x in rows if x[0] in asked)
 
 
 def test_warc_of_records_beyond_a_member(spark, monkeypatch):
@@ -173,10 +200,18 @@ def test_warc_of_records_beyond_a_member(spark, monkeypatch):
     assert [warc.parse(r)["page_id"] for o, n, _ in read for _, _, r in warc.records(data[o : o + n])] == [7, 8]
 
 
-def test_warc_of_nothing(spark):
+def test_warc_of_nothing_and_of_very_long_pages(spark):
+    path = shared.new_path(spark, "test")
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    index = warc.build_index(warc.write_archives(none, path), path)
+    assert warc.read_records(warc.look_up(index, keys(spark, "http://a/"))).count() == 0
+    r = random.Random(1)
+    long = "".join(r.choice("abcdefgh é") for _ in range(400_000)) * 6
+    pages = spark.createDataFrame([(1, "http://a/" + "u" * 5000, long), (2, "http://a/", long + "x")], "page_id long, url string, html string")
     path = shared.new_path(spark, "test")
-    warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), path)
-    assert warc.read_all(spark, warc.build_index(spark, path), path).count() == 0
+    index = warc.build_index(warc.write_archives(pages, path), f"{path}-index")
+    got = warc.read_records(warc.look_up(index, pages.select(warc.capture_key(F.col("url")).alias("key")))).collect()
+    assert {(x["page_id"], x["payload_digest"]) for x in got} == {(1, hashlib.sha256(long.encode()).hexdigest()), (2, hashlib.sha256((long + "x").encode()).hexdigest())}
 
 
 # --- 4: packing ------------------------------------------------------------------------------

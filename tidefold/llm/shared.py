@@ -1,35 +1,26 @@
 """Folders that driver and executors share, and tables written there.
 
 Everything that must outlive a stage (intermediate tables, cut lineage) goes to
-the folder named by ``spark.checkpoint.dir``. Only where that setting is absent,
-as in tests on one machine, a temporary folder is made.
+the folder named by ``spark.checkpoint.dir``. Only where that setting is absent
+and all run on one machine, as in tests, a temporary folder is made.
 """
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
+from tidefold.sources.files import base_folder
+
 _tables: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this application, as a URI that Spark can write to."""
-    app = spark.sparkContext.applicationId
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        if app not in _own:
-            _own[app] = tempfile.mkdtemp(prefix="tidefold-")
-            atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
-        base = f"file://{_own[app]}"
-    return f"{base.rstrip('/')}/tidefold-{app}"
+    """The folder of this application in the shared folder, as a URI that Spark can write to."""
+    return f"{base_folder(spark)}/tidefold-{spark.sparkContext.applicationId}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
