@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import ctypes
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,10 +50,30 @@ def tidy() -> None:
         pass
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting of the session for a while; then it is what it was."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def _no_shuffles_left(spark: SparkSession):
+    """What is written needs no shuffle files any more: they go when the write has ended, not when the driver next collects its garbage."""
+    return setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: lineage is cut, and a lost executor loses nothing."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with _no_shuffles_left(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -59,7 +81,8 @@ def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     """As written(), but bucketed by key, so that later joins and groups on it need no shuffle of this side."""
     table = f"tidefold_{name}_{uuid.uuid4().hex}"
     path = new_path(df.sparkSession, name)
-    df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(table)
+    with _no_shuffles_left(df.sparkSession):
+        df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(table)
     _tables.append(table)
     return df.sparkSession.table(table)
 
