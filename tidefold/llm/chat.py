@@ -56,18 +56,18 @@ def best_paths(nodes: DataFrame, best: int | None = 1) -> DataFrame:
     linked = own.join(parents, (F.col("tree") == F.col("t")) & (F.col("parent") == F.col("n")), "left")
     at = written(linked.select("tree", "node", F.col("n").alias("up"), F.when(F.col("n").isNotNull(), 1).otherwise(0).cast("long").alias("depth"), "score"), "paths")
     size = own.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
-    jumps = []
+    ended, jumps = at.where("up IS NULL"), []
     for _ in range(max(1, size.bit_length())):
-        jumps.append(at.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("score").alias("score2")))
-        if at.where("up IS NOT NULL").isEmpty():
+        going = at.where("up IS NOT NULL")  # nodes that have reached their root are looked up, but take no further part
+        jumps.append(going.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2")))
+        if going.isEmpty():
             break
-        on = (F.col("tree") == F.col("t")) & (F.col("up") == F.col("n"))
-        at = written(
-            at.join(jumps[-1], on, "left")
-            .select("tree", "node", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score")), "paths"
-        )
+        ahead = ended.union(going).select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("score").alias("score2"))
+        met = going.join(ahead, (F.col("tree") == F.col("t")) & (F.col("up") == F.col("n")))
+        at = written(met.select("tree", "node", F.col("up2").alias("up"), (F.col("depth") + F.col("depth2")).alias("depth"), (F.col("score") + F.col("score2")).alias("score")), "paths")
+        ended = ended.union(at.where("up IS NULL"))
     inner = own.where("parent IS NOT NULL").select(F.col("tree").alias("t"), F.col("parent").alias("n")).distinct()
-    leaves = at.where("up IS NULL").join(inner, (F.col("tree") == F.col("t")) & (F.col("node") == F.col("n")), "left_anti")
+    leaves = ended.join(inner, (F.col("tree") == F.col("t")) & (F.col("node") == F.col("n")), "left_anti")
     if best == 1:
         top = F.max(F.struct("score", "depth", (-F.col("node")).alias("back"))).alias("s")
         leaves = leaves.groupBy("tree").agg(top).select("tree", (-F.col("s.back")).alias("path"), F.col("s.depth").alias("depth"))
@@ -76,8 +76,7 @@ def best_paths(nodes: DataFrame, best: int | None = 1) -> DataFrame:
         leaves = leaves.withColumn("rank", F.row_number().over(order)).where(F.lit(True) if best is None else F.col("rank") <= best).select("tree", F.col("node").alias("path"), "depth")
     chosen = written(leaves.select("tree", "path", F.col("path").alias("node"), "depth"), "chosen")
     for k in range(len(jumps) - 1, -1, -1):
-        jump = jumps[k].where("up2 IS NOT NULL").select("t", "n", "up2")
-        more = chosen.join(jump, (F.col("tree") == F.col("t")) & (F.col("node") == F.col("n")))
+        more = chosen.join(jumps[k], (F.col("tree") == F.col("t")) & (F.col("node") == F.col("n")))
         chosen = written(chosen.union(more.select("tree", "path", F.col("up2").alias("node"), (F.col("depth") - (1 << k)).alias("depth"))), "chosen")
     return chosen
 
