@@ -42,6 +42,7 @@ BLOCK_LINES = 3000
 LEAST_REVISIT = 100
 KEY_CHARS = 1000
 READ_BYTES = 1 << 20  # read at once, when more records may follow
+TASK_BYTES, MAX_TASKS = 16 << 20, 100_000  # of archives read by a task
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CAPTURE = "key string, page_id long, file string, offset long, length long"
@@ -339,7 +340,9 @@ def read_records(captures: DataFrame, payload: bool = False) -> DataFrame:
         tidy()
 
     places = written(captures.select("file", "offset", "length"), "places")
-    return places.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset").mapInArrow(read, schema)
+    total = places.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, min(MAX_TASKS, -(-total // TASK_BYTES)))  # by the bytes that are read: the places themselves are few
+    return places.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(read, schema)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
