@@ -591,11 +591,35 @@ def test_media_round_trip(spark):
         data = (texts[x["id"]] or "").encode()
         full = data.ljust(max(1, -(-len(data) // 192)) * 192)
         assert (x["n_bytes"], x["payload_bytes"], x["payload_sha256"], x["tail_crc32"]) == (len(data), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-16:]))
-        codec, rate, _, pcm = audio.read_wav(bytes(x["pcm"]))
-        assert (codec, rate) == ("pcm", 16000) and len(pcm) // 2 == int(x["feature"].split()[1])
+        codec, _, sound = audio.decoded([audio.store(full)])[0]
+        assert np.array_equal(audio.unpack_pcm(bytes(x["pcm"])), sound) and len(sound) == int(x["feature"].split()[1])
+        media = audio.store(full)
+        assert (x["media_bytes"], x["media_sha256"], x["feature"]) == (len(media), hashlib.sha256(media).hexdigest(), audio.feature(codec, sound))
     assert audio.read_media(audio.media_column(docs(spark, []))).count() == 0
 
 
+def test_media_of_the_query(spark, sf):
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r["doc_id"]: r for r in registry.QUERIES["op9_telephony_audio"](spark, sf).collect()}
+    assert set(got) == set(texts)
+    for i, data in texts.items():
+        full = data.ljust(max(1, -(-len(data) // 192)) * 192)
+        media = audio.store(full)
+        (codec, _, sound), x = audio.decoded([media])[0], got[i]
+        assert (x["n_bytes"], x["payload_bytes"], x["payload_sha256"], x["tail_crc32"]) == (len(data), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-16:]))
+        assert (x["media_bytes"], x["media_sha256"], x["feature"]) == (len(media), hashlib.sha256(media).hexdigest(), audio.feature(codec, sound))
+
+
+def test_packed_sound_is_the_same(spark):
+    r = np.random.default_rng(2)
+    laws = [np.repeat(t[r.integers(0, 256, 500)], 2) for t in audio.LAWS.values()]
+    for x in (np.zeros(0, np.int16), np.array([5], np.int16), r.integers(-32768, 32768, 1001).astype(np.int16), np.array([-32768, 32767, -32768] * 7, np.int16), *laws, audio.resample(laws[0], 8000, 16000)):
+        assert np.array_equal(audio.unpack_pcm(audio.pack_pcm(x)), x)
+    long = "".join(chr(97 + i % 7) for i in range(3_000_000))
+    got = audio.read_media(audio.media_column(docs(spark, [long, long + "x"]))).collect()
+    assert {x["id"]: x["payload_sha256"] for x in got} == {i: hashlib.sha256(t.ljust(-(-len(t) // 192) * 192)).hexdigest() for i, t in enumerate((long.encode(), (long + "x").encode()))}
+
+
 def test_resampling():
     x = np.array([0, 100, -100], np.int16)
     assert audio.resample(x, 8000, 16000).tolist() == [0, 50, 100, 0, -100, -100]

@@ -3,7 +3,9 @@
 Mu-law and A-law codes are expanded by tables of 256 entries; IMA ADPCM blocks, each
 of which starts anew from its header, are decoded side by side: one numpy step per
 sample of a block, over all blocks of a batch of rows. Decoded sound is resampled to
-a common rate as 16-bit PCM.
+a common rate as 16-bit PCM and stored, packed without loss as samples alone allow it:
+those that lie between two others as what differs from their mean, the others by their
+place in the table of a law that has them all, else as steps from one to the next.
 """
 
 from __future__ import annotations
@@ -19,9 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidefold.llm import words as W
-from tidefold.llm.shared import new_path, table
+from tidefold.llm.shared import packed, table, text_batches, tidy
 
 UNIT = 192
+READ_BYTES = 1 << 20
 RATE, OUT_RATE = 8000, 16000
 CODECS = ("mulaw", "alaw", "adpcm")
 TAGS = {"pcm": 1, "alaw": 6, "mulaw": 7, "adpcm": 0x11}
@@ -113,6 +116,52 @@ def resample(x: np.ndarray, rate: int, to: int) -> np.ndarray:
     return (left + (right - left) * part // to).astype(np.int16)
 
 
+def _tables() -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each law: its different samples in order, and for every 16-bit number its place among them or -1."""
+    out = []
+    for law in LAWS.values():
+        values = np.unique(law)
+        place = np.full(1 << 16, -1, np.int16)
+        place[values.view(np.uint16)] = np.arange(len(values))
+        out.append((values, place))
+    return out
+
+
+_LAW_VALUES = _tables()
+
+
+def _between(even: np.ndarray, n: int) -> np.ndarray:
+    """The means of samples and those that follow them; the last is held."""
+    return ((even.astype(np.int32) + np.append(even[1:], even[-1:])) >> 1).astype(np.int16)[:n].view(np.uint16)
+
+
+def pack_pcm(x: np.ndarray) -> bytes:
+    """16-bit samples as bytes: how many, how those at even places are written, these, then the others less the mean of their neighbours."""
+    x = x.astype(np.int16)
+    even, odd = np.ascontiguousarray(x[0::2]), np.ascontiguousarray(x[1::2])
+    for kind, (_, place) in enumerate(_LAW_VALUES, 1):
+        at = place[even.view(np.uint16)]
+        if (at >= 0).all():
+            body = at.astype(np.uint8).tobytes()
+            break
+    else:
+        kind, body = 0, np.diff(even.view(np.uint16), prepend=np.uint16(0)).astype("<u2").tobytes()
+    return struct.pack("<IB", len(x), kind) + body + (odd.view(np.uint16) - _between(even, len(odd))).astype("<u2").tobytes()
+
+
+def unpack_pcm(data: bytes) -> np.ndarray:
+    """The samples that pack_pcm() was given."""
+    n, kind = struct.unpack_from("<IB", data)
+    half = (n + 1) // 2
+    if kind:
+        even, at = _LAW_VALUES[kind - 1][0][np.frombuffer(data, np.uint8, half, 5)], 5 + half
+    else:
+        even, at = np.cumsum(np.frombuffer(data, "<u2", half, 5), dtype=np.uint16).view(np.int16), 5 + 2 * half
+    out = np.empty(n, np.int16)
+    out[0::2], out[1::2] = even, (np.frombuffer(data, "<u2", n // 2, at).astype(np.uint16) + _between(even, n // 2)).view(np.int16)
+    return out
+
+
 def decoded(media: list[bytes]) -> list[tuple[str, bytes, np.ndarray]]:
     """(codec, data, samples at OUT_RATE) of each container; all ADPCM blocks of one size are decoded together."""
     parts = [read_wav(m) for m in media]
@@ -150,13 +199,17 @@ def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts = [x or b"" for x in texts]
             media = [store(x.ljust(max(1, -(-len(x) // UNIT)) * UNIT)) for x in texts]
             yield pa.RecordBatch.from_pydict({"id": ids.slice(rows.start, rows.stop - rows.start), "n_bytes": pa.array(list(map(len, texts)), pa.int64()), "media": pa.array(media, pa.binary())})
+    tidy()
 
 
 def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, media): every text's UTF-8, filled up with spaces to a positive multiple of 192, as telephony audio.
 
-    Null and empty texts are 192 spaces; rows without an id and repeated rows stay.
+    Null and empty texts are 192 spaces; rows without an id and repeated rows stay, of
+    whatever length; other columns are not looked at. An empty table gives an empty
+    table. Sets the session's Arrow batches to 1000 rows at most.
     """
+    text_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_stored, "id long, n_bytes long, media binary")
 
 
@@ -170,15 +223,16 @@ def feature(codec: str, x: np.ndarray) -> str:
 
 def _read(batches: Iterator[pa.RecordBatch], pcm: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            rows, media = [], part.column(2).to_pylist()
+        for at, media in W.batches(batch, "media", READ_BYTES):
+            part = batch.slice(at.start, at.stop - at.start)
+            rows = []
             for m, (codec, data, x) in zip(media, decoded(media)):
                 own = payload(codec, data, UNIT + 4)
-                rows.append((len(own), hashlib.sha256(own).hexdigest(), zlib.crc32(own[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature(codec, x), wav("pcm", x.astype("<i2").tobytes(), OUT_RATE) if pcm else None))
+                rows.append((len(own), hashlib.sha256(own).hexdigest(), zlib.crc32(own[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature(codec, x), pack_pcm(x) if pcm else None))
             cols = list(zip(*rows))
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["id", "n_bytes", *NAMES])
+    tidy()
 
 
 NAMES = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm"]
@@ -186,13 +240,18 @@ NAMES = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_
 
 def read_media(stored: DataFrame, pcm: bool = True) -> DataFrame:
     """(id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, pcm) from (id, n_bytes, media);
-    pcm: the sound at 16 kHz as a WAV of 16-bit samples, or null where it is not asked for."""
+    pcm: the sound at 16 kHz as pack_pcm() writes it, or null where it is not asked for.
+
+    Rows are decoded about a MB of media at a time, a longer one by itself, in up to 20 times
+    its bytes. All rows stay, other columns are not looked at; an empty table gives an
+    empty table. Sets the session's Arrow batches to 1000 rows at most.
+    """
+    text_batches(stored.sparkSession)
     schema = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm binary"
-    return stored.mapInArrow(lambda it: _read(it, pcm), schema)
+    return stored.select("id", "n_bytes", "media").mapInArrow(lambda it: _read(it, pcm), schema)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
-    path = new_path(spark, "media")
-    made = media_column(table(spark, sf_dir, "documents"))
-    made.write.option("compression", "zstd").parquet(path)
-    return read_media(spark.read.schema(made.schema).parquet(path), pcm=False).drop("pcm").withColumnRenamed("id", "doc_id")
+    """Coded media are stored and read back; the resampled sound is stored as well, and the digests with it."""
+    stored = packed(media_column(table(spark, sf_dir, "documents")), "media")
+    return packed(read_media(stored), "sound").drop("pcm").withColumnRenamed("id", "doc_id")

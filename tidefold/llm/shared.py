@@ -77,6 +77,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed(df: DataFrame, name: str) -> DataFrame:
+    """As written(), for large values: compressed by zstd at a high level."""
+    path = new_path(df.sparkSession, name)
+    with _no_shuffles_left(df.sparkSession):
+        df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "9").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     """As written(), but bucketed by key, so that later joins and groups on it need no shuffle of this side."""
     table = f"tidefold_{name}_{uuid.uuid4().hex}"
