@@ -532,7 +532,25 @@ def test_long_texts_and_clashing_columns(spark):
 # --- 8: substrings ---------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("n", [20, 7])
+def test_levels():
+    assert [substring_dedup.lengths(n) for n in (1, 7, 10, 11, 20, 50)] == [[1], [7], [5, 10], [6, 11], [5, 10, 20], [7, 13, 25, 50]]
+
+
+def test_repeats_tell_windows_whose_first_hash_agrees():
+    h, more = np.array([5, 5, 5, 9, 5], np.uint64), np.array([1, 2, 1, 1, 2], np.uint64)
+    ids, start = np.array([3, 1, 2, 0, 1]), np.array([0, 4, 7, 0, 4])
+    assert substring_dedup._repeats(h, more, ids, start).tolist() == [True, False, False, False, False]
+    assert substring_dedup._least(h, more, ids, start).tolist() == [2, 1, 3]
+
+
+def test_no_candidate_survives_the_first_level(spark):
+    r = random.Random(1)
+    texts = [prose(r, 60, 10**9) for _ in range(20)] + ["x y " * 30]
+    got = {x["doc_id"]: x[substring_dedup.REMOVED] for x in substring_dedup.substring_dedup(docs(spark, texts)).collect()}
+    assert got == {i: removed for i, (_, removed, _) in brute_removed(list(enumerate(texts)), 20).items()} and got[20] > 0
+
+
+@pytest.mark.parametrize("n", [20, 7, 11])
 def test_substring_dedup(spark, n, monkeypatch):
     from tidefold.llm import blocks
 

@@ -74,20 +74,29 @@ def split(h: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
     return [(int(at[i]), int(i), int(j)) for i, j in zip(cuts, [*cuts[1:], len(h)])]
 
 
-def across_blocks(held: DataFrame, hashes: Callable[[pa.Table], np.ndarray], buckets: int) -> DataFrame:
+def across_blocks(held: DataFrame, hashes: Callable[[pa.Table, np.ndarray | None], np.ndarray], buckets: int, known: DataFrame | None = None) -> DataFrame:
     """(block, h): for each block those of its hashes that other blocks have too, packed as 64-bit numbers.
 
+    hashes: from a block's rows and, where known (block, h) is given, what that has of the block, sorted.
     A block sends each of its different hashes once, so one that is everywhere brings
     as many entries into its bucket as there are blocks.
     """
-    def send(batches):
+    def send(block: int, h: np.ndarray) -> pa.RecordBatch:
+        h = np.unique(h[np.diff(h, prepend=h[:1] ^ np.uint64(1)) != 0])
+        cut = split(h, buckets)
+        return pa.RecordBatch.from_pydict({"bucket": pa.array([c[0] for c in cut], pa.int64()), "block": pa.array([block] * len(cut), pa.int64()), "h": pa.array([h[i:j].tobytes() for _, i, j in cut], pa.binary())})
+
+    def send_all(batches):
         for batch in batches:
             for block, blob in zip(batch.column("block").to_pylist(), batch.column("rows").to_pylist()):
-                h = hashes(unpack(blob))
-                h = np.unique(h[np.diff(h, prepend=h[:1] ^ np.uint64(1)) != 0])
-                cut = split(h, buckets)
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([c[0] for c in cut], pa.int64()), "block": pa.array([block] * len(cut), pa.int64()), "h": pa.array([h[i:j].tobytes() for _, i, j in cut], pa.binary())})
+                yield send(block, hashes(unpack(blob), None))
+        tidy()
+
+    def send_known(key, block: pa.Table, own: pa.Table) -> pa.Table:
         tidy()
+        if not block.num_rows or not own.num_rows:
+            return pa.Table.from_batches([send(0, np.zeros(0, np.uint64))])
+        return pa.Table.from_batches([send(key[0].as_py(), hashes(unpack(block.column("rows")[0].as_py()), joined(own.column("h"))))])
 
     def in_two(group: pa.Table) -> pa.Table:
         blobs = [np.frombuffer(x, np.uint64) for x in group.column("h").to_pylist()]
@@ -96,5 +105,11 @@ def across_blocks(held: DataFrame, hashes: Callable[[pa.Table], np.ndarray], buc
         kept = [np.intersect1d(x, values, assume_unique=True).tobytes() for x in blobs]
         return pa.table({"block": group.column("block").cast(pa.int64()), "h": pa.array(kept, pa.binary())}).filter(pa.array([bool(k) for k in kept], pa.bool_()))
 
-    sent = held.select("block", "rows").mapInArrow(send, "bucket long, block long, h binary")
+    rows, schema = held.select("block", "rows"), "bucket long, block long, h binary"
+    sent = rows.mapInArrow(send_all, schema) if known is None else rows.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(send_known, schema)
     return sent.groupBy("bucket").applyInArrow(in_two, "block long, h binary")
+
+
+def joined(col: pa.ChunkedArray) -> np.ndarray:
+    """Packed 64-bit numbers of several rows, sorted."""
+    return np.sort(np.frombuffer(b"".join(col.to_pylist()), np.uint64))

@@ -211,7 +211,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     held = blocks(texts, "near", BLOCK_BYTES // 4)
     total = base.agg(F.sum("n_shingles")).first()[0] or 0
-    elsewhere = across_blocks(held, lambda t: np.concatenate(_sets(t.column("z").to_pylist(), k)), max(1, total // 4 // BUCKET_ENTRIES + 1))
+    elsewhere = across_blocks(held, lambda t, _: np.concatenate(_sets(t.column("z").to_pylist(), k)), max(1, total // 4 // BUCKET_ENTRIES + 1))
     counts = held.select("block", "rows").groupBy("block").cogroup(elsewhere.groupBy("block")).applyInArrow(_shared_counts(k), "id long, size long, shared long")
     # of rows with the same id the most favourable count
     counts = written(counts.groupBy("id").agg(F.min("size").alias("size"), F.max(F.expr(f"shared * {100 + percent} div {percent}") - F.col("size")).alias("room")), "counts")

@@ -4,14 +4,16 @@ A window is n consecutive words of one document. A window is a repeat if the
 same words also start earlier: in a document with a smaller id, or earlier in the
 same document. All words covered by repeats go.
 
-Levels: at half the length, each window of n words is stood for by the smallest
-hash among the half-length windows inside it, so equal windows are stood for by
-equal hashes, and about one position in six is looked at. Only those that occur
-in two blocks survive and are extended to the full length, where windows are
-compared by 96 bits. Repeats inside a block are found there and are not sent.
-What leaves a block is packed: sorted hashes, cut by ranges into buckets, at most
-one entry for each distinct window and block. So a passage that a third of all
-documents share brings one entry a block into its bucket.
+Levels: 5, 10, 20 words, in general twice as many until n. At each length, every window
+of n words that is still a candidate is stood for by the smallest hash among the
+windows of that length inside it, so equal windows are stood for by equal hashes, and
+few positions are looked at. Only those whose stand-in another block has too
+are extended to the next length; when none is left, no further length is looked at.
+At the full length windows are compared by 128 bits, made of the 64-bit hashes of their
+words: among 10^13 windows two different ones agree with a chance below 10^-12. Repeats inside
+a block are found there and are not sent. What leaves a block is packed: sorted hashes,
+cut by ranges into buckets, at most one entry for each distinct window and block. So a
+passage that a third of all documents share brings one entry a block into its bucket.
 """
 
 from __future__ import annotations
@@ -22,10 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidefold.llm import words as W
-from tidefold.llm.blocks import across_blocks, blocks, split, unpack
-from tidefold.llm.shared import table, tidy
+from tidefold.llm.blocks import across_blocks, blocks, joined, split, unpack
+from tidefold.llm.shared import table, tidy, written
 
 BUCKET_ENTRIES = 1 << 18
+LEAST = 5  # words at the first level
 WORDS, REMOVED = "substring_words", "substring_removed"
 _LAST = np.iinfo(np.int64).max
 
@@ -53,10 +56,9 @@ class _Texts:
         left = np.repeat(self.bounds[1:], lens) - np.arange(len(self.hashes))
         return np.flatnonzero(left >= n)
 
-    def stand_ins(self, n: int, at: np.ndarray) -> np.ndarray:
-        """For each window at `at`, the smallest hash of the windows of half its length inside it."""
-        half = max(1, n // 2)
-        low, span, want = W.runs(self.hashes, half), 1, n - half + 1
+    def stand_ins(self, n: int, part: int, at: np.ndarray) -> np.ndarray:
+        """For each window of n words at `at`, the smallest hash of the windows of `part` words inside it."""
+        low, span, want = W.runs(self.hashes, part), 1, n - part + 1
         while span * 2 <= want:
             low = np.minimum(low[: len(low) - span], low[span:])
             span *= 2
@@ -64,35 +66,69 @@ class _Texts:
             low = np.minimum(low[: len(low) - (want - span)], low[want - span :])
         return low[at]
 
+    def both(self, n: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The two hashes of the windows at `at`."""
+        return W.runs(self.hashes, n)[at], W.runs(self.hashes, n, W.WEIGHTS_B)[at]
+
     def places(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The document id and the offset in the document of word positions."""
         row = np.searchsorted(self.bounds, at, side="right") - 1
         return self.ids[row], at - self.bounds[row]
 
 
-def _firsts(h: np.ndarray, ids: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For windows in any order: an index of one first per hash, ordered by hash; and which windows are repeats here."""
-    order = np.lexsort((start, ids, h))
-    new = np.diff(h[order], prepend=h[order][:1] ^ np.uint64(1)) != 0 if len(h) else np.zeros(0, bool)
-    first = order[new]
-    group = np.cumsum(new) - 1
-    repeat = np.zeros(len(h), bool)
-    repeat[order] = (ids[order] != ids[first][group]) | (start[order] != start[first][group])
-    return first, repeat
+def lengths(n: int) -> list[int]:
+    """The levels for windows of n words: each twice the one before, or one less than that, and n the last."""
+    out = [n]
+    while (out[0] + 1) // 2 >= LEAST:
+        out.insert(0, (out[0] + 1) // 2)
+    return out
 
 
-def _joined(col: pa.ChunkedArray, dtype) -> np.ndarray:
-    return np.frombuffer(b"".join(col.to_pylist()), dtype)
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted array."""
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values if len(known) else np.zeros(len(values), bool)
+
+
+def _least(h: np.ndarray, more: np.ndarray, ids: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """For windows in any order: an index of the first of equal ones, ordered by hash."""
+    order = np.lexsort((start, ids, more, h))
+    new = np.ones(len(h), bool)
+    new[1:] = (np.diff(h[order]) != 0) | (np.diff(more[order]) != 0)
+    return order[new]
+
+
+def _repeats(h: np.ndarray, more: np.ndarray, ids: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which windows start earlier among these too."""
+    order = np.argsort(h, kind="stable")
+    same = np.diff(h[order]) == 0
+    some = order[np.append(same, False) | np.insert(same, 0, False)] if len(h) else order
+    some = some[np.lexsort((start[some], ids[some], more[some], h[some]))]
+    new = np.ones(len(some), bool)
+    new[1:] = (np.diff(h[some]) != 0) | (np.diff(more[some]) != 0)
+    first = some[new][np.cumsum(new) - 1] if len(some) else some
+    out = np.zeros(len(h), bool)
+    out[some] = (ids[some] != ids[first]) | (start[some] != start[first])
+    return out
+
 
+def _pairs(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The two hashes of windows in rows of packed ones, sorted."""
+    h, more = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint64) for c in ("h", "more"))
+    order = np.lexsort((more, h))
+    return h[order], more[order]
 
-def repeated_spans(rows: pa.Table, id_col: str, text_col: str, n: int, known: np.ndarray) -> tuple[_Texts, np.ndarray]:
+
+def repeated_spans(rows: pa.Table, id_col: str, text_col: str, n: int, known: tuple[np.ndarray, np.ndarray]) -> tuple[_Texts, np.ndarray]:
     """A block's texts and which of its words go, given the sorted hashes of windows that start earlier elsewhere."""
     t = _Texts(rows, id_col, text_col)
     at = t.windows(n)
-    h = W.runs(t.hashes, n)[at]
-    repeat = _firsts(h, *t.places(at))[1]
-    if len(known):
-        repeat |= known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+    h, more = t.both(n, at)
+    repeat = _repeats(h, more, *t.places(at))
+    if len(known[0]):
+        left, right = (np.searchsorted(known[0], h, side=side) for side in ("left", "right"))
+        for j in range(int((right - left).max(initial=0))):  # nearly always one
+            here = np.flatnonzero(left + j < right)
+            repeat[here] |= known[1][left[here] + j] == more[here]
     edge = np.zeros(len(t.hashes) + 1, np.int64)
     edge[at[repeat]] += 1
     edge[at[repeat] + n] -= 1
@@ -113,7 +149,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Adds substring_words and substring_removed (long): words before, and words
     removed (columns of these names in the input are replaced). A text of which
     nothing goes stays as it is. Null texts stay null and have no words; texts of
-    fewer than n words are never changed. Rows with the same id are one document:
+    fewer than n words are never changed, and a text, however long, is worked on whole in one task. Rows with the same id are one document:
     windows at the same offset in them are not earlier than each other. Rows
     without an id count as one document after all others. An empty table gives an
     empty table.
@@ -121,27 +157,39 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     docs = docs.drop(WORDS, REMOVED)
     held = blocks(docs, "substring")
-    total = held.agg(F.sum("n_bytes").alias("b")).first()["b"] or 0
-    buckets = max(1, int(total / 6 * 0.2 / BUCKET_ENTRIES) + 1)
+    size = held.agg(F.sum("n_bytes").alias("b")).first()["b"] or 0
     many = docs.groupBy(F.col(id_col).alias("k")).count().filter("count > 1").limit(1).count() > 0
+    *parts, _ = lengths(n)
+    survivors, before, found, entries = None, None, 0, size // 6
 
-    def half(rows: pa.Table) -> np.ndarray:
-        t = _Texts(rows, id_col, text_col)
-        return t.stand_ins(n, at) if len(at := t.windows(n)) else np.zeros(0, np.uint64)
-
-    survivors = across_blocks(held, half, buckets)
+    for part in parts:
+        def candidates(rows: pa.Table, known: np.ndarray | None, part: int = part, before: int | None = before) -> np.ndarray:
+            t = _Texts(rows, id_col, text_col)
+            at = t.windows(n)
+            if known is not None and len(at):
+                at = at[_among(t.stand_ins(n, before, at), known)]
+            return t.stand_ins(n, part, at) if len(at) else np.zeros(0, np.uint64)
+
+        # of windows of w words, the smallest of s stands for (s + 1) / 2 positions
+        expected = 2 * entries // (n - part + 2)
+        survivors = written(across_blocks(held, candidates, int(expected // BUCKET_ENTRIES) + 1, survivors), f"level_{part}")
+        found = (survivors.agg(F.sum(F.octet_length("h"))).first()[0] or 0) // 8
+        before, entries = part, found * (n - part + 2) // 2
+        if not found:
+            break
+    buckets = int(entries // BUCKET_ENTRIES) + 1
 
     def level_full(key, left: pa.Table, right: pa.Table) -> pa.Table:
         tidy()
         out: dict[str, list] = {k: [] for k in ("bucket", "block", "h", "more", "ids", "start")}
-        if left.num_rows and right.num_rows:
-            t, live = _Texts(unpack(left.column("rows")[0].as_py()), id_col, text_col), np.sort(_joined(right.column("h"), np.uint64))
+        if left.num_rows and (right is None or right.num_rows):
+            t = _Texts(unpack(left.column("rows")[0].as_py()), id_col, text_col)
             at = t.windows(n)
-            s = t.stand_ins(n, at)
-            at = at[live[np.minimum(np.searchsorted(live, s), len(live) - 1)] == s]
-            h, more = W.runs(t.hashes, n)[at], (W.runs(t.hashes, n, W.WEIGHTS_B)[at] >> np.uint64(32)).astype(np.uint32)
+            if before is not None:
+                at = at[_among(t.stand_ins(n, before, at), joined(right.column("h")))]
+            h, more = t.both(n, at)
             ids, start = t.places(at)
-            first = _firsts(h, ids, start)[0]
+            first = _least(h, more, ids, start)
             h, more, ids, start = h[first], more[first], ids[first], start[first].astype(np.int64)
             base = int(ids.min()) if len(ids) else 0
             narrow = len(ids) and int(ids.max()) - base < 1 << 16
@@ -160,30 +208,33 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             size = len(h) // 8
             sizes.append(size)
             ids.append(int.from_bytes(x[1:9], "little", signed=True) + np.frombuffer(x, np.uint16, offset=9).astype(np.int64) if x[0] else np.frombuffer(x, np.int64, offset=1))
-        h, more, ids = np.frombuffer(b"".join(blobs), np.uint64), _joined(group.column("more"), np.uint32), np.concatenate(ids)
-        start = _joined(group.column("start"), np.int64) if many else np.zeros(len(h), np.int64)
+        h, more, ids = np.frombuffer(b"".join(blobs), np.uint64), _packed(group.column("more"), np.uint64), np.concatenate(ids)
+        start = _packed(group.column("start"), np.int64) if many else np.zeros(len(h), np.int64)
         own = np.repeat(np.arange(len(sizes)), sizes)
         order = np.lexsort((start, ids, more, h))
-        same = (np.diff(h[order]) == 0) & (np.diff(more[order].astype(np.int64)) == 0)
+        same = (np.diff(h[order]) == 0) & (np.diff(more[order]) == 0)
         group_of = np.concatenate([[0], np.cumsum(~same)])
         first = order[np.concatenate([[True], ~same])][group_of]
         late = (ids[order] > ids[first]) | (start[order] > start[first])
         kept = order[late]
-        gone = _by_owner(h, kept, own, len(sizes))
-        return pa.table({"block": group.column("block").cast(pa.int64()), "h": pa.array(gone, pa.binary())}).filter(pa.array([bool(g) for g in gone], pa.bool_()))
-
-    late = (
-        held.select("block", "rows").groupBy("block").cogroup(survivors.groupBy("block"))
-        .applyInArrow(level_full, "bucket long, block long, h binary, more binary, ids binary, start binary")
-        .groupBy("bucket").applyInArrow(earlier_elsewhere, "block long, h binary")
-    )
+        gone, gone_more = _by_owner(h, kept, own, len(sizes)), _by_owner(more, kept, own, len(sizes))
+        return pa.table({"block": group.column("block").cast(pa.int64()), "h": pa.array(gone, pa.binary()), "more": pa.array(gone_more, pa.binary())}).filter(pa.array([bool(g) for g in gone], pa.bool_()))
+
+    rows, schema = held.select("block", "rows"), "bucket long, block long, h binary, more binary, ids binary, start binary"
+    if before is None:  # windows so short that there is no level below
+        full = rows.groupBy("block").applyInArrow(lambda block: level_full(None, block, None), schema)
+    else:
+        full = rows.groupBy("block").cogroup(survivors.groupBy("block")).applyInArrow(level_full, schema)
+    late = full.groupBy("bucket").applyInArrow(earlier_elsewhere, "block long, h binary, more binary")
+    if parts and not found:
+        late = spark.createDataFrame([], late.schema)
 
     def without(key, left: pa.Table, right: pa.Table) -> pa.Table:
         tidy()
         if not left.num_rows:
             return empty
         rows = unpack(left.column("rows")[0].as_py())
-        t, gone = repeated_spans(rows, id_col, text_col, n, np.sort(_joined(right.column("h"), np.uint64)))
+        t, gone = repeated_spans(rows, id_col, text_col, n, _pairs(right))
         sums = np.concatenate([[0], np.cumsum(gone)])
         removed = sums[t.bounds[1:]] - sums[t.bounds[:-1]]
         texts = [_without(x, gone[t.bounds[i] : t.bounds[i + 1]]) if removed[i] else x for i, x in enumerate(t.texts)]
@@ -199,6 +250,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return held.select("block", "rows").groupBy("block").cogroup(late.groupBy("block")).applyInArrow(without, schema)
 
 
+def _packed(col: pa.ChunkedArray, dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), dtype)
+
+
 def _by_owner(h: np.ndarray, kept: np.ndarray, own: np.ndarray, n: int) -> list[bytes]:
     kept = np.sort(kept)
     cuts = np.searchsorted(own[kept], np.arange(n + 1))
