@@ -604,16 +604,18 @@ def test_laws_and_adpcm():
 
 def test_media_round_trip(spark):
     texts = [None, "", "a" * 192, "b" * 193, "é" * 500, *(f"text {i} " * i for i in range(30))]
-    made = audio.media_column(docs(spark, texts).withColumn("media", F.lit("clash")))
+    made = audio.with_sound(audio.media_column(docs(spark, texts).withColumns({"media": F.lit("clash"), "pcm": F.lit(1)})))
+    assert sorted(map(str, made.collect())) == sorted(map(str, audio.media_and_sound(docs(spark, texts)).collect()))
+    sounds = {x["id"]: bytes(x["pcm"]) for x in made.collect()}
     for x in audio.read_media(made).collect():
         data = (texts[x["id"]] or "").encode()
         full = data.ljust(max(1, -(-len(data) // 192)) * 192)
         assert (x["n_bytes"], x["payload_bytes"], x["payload_sha256"], x["tail_crc32"]) == (len(data), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-16:]))
         codec, _, sound = audio.decoded([audio.store(full)])[0]
-        assert np.array_equal(audio.unpack_pcm(bytes(x["pcm"])), sound) and len(sound) == int(x["feature"].split()[1])
+        assert np.array_equal(audio.unpack_pcm(sounds[x["id"]]), sound) and len(sound) == int(x["feature"].split()[1])
         media = audio.store(full)
         assert (x["media_bytes"], x["media_sha256"], x["feature"]) == (len(media), hashlib.sha256(media).hexdigest(), audio.feature(codec, sound))
-    assert audio.read_media(audio.media_column(docs(spark, []))).count() == 0
+    assert audio.read_media(audio.with_sound(audio.media_column(docs(spark, [])))).count() == 0
 
 
 def test_media_of_the_query(spark, sf):
@@ -634,7 +636,7 @@ def test_packed_sound_is_the_same(spark):
     for x in (np.zeros(0, np.int16), np.array([5], np.int16), r.integers(-32768, 32768, 1001).astype(np.int16), np.array([-32768, 32767, -32768] * 7, np.int16), *laws, audio.resample(laws[0], 8000, 16000)):
         assert np.array_equal(audio.unpack_pcm(audio.pack_pcm(x)), x)
     long = "".join(chr(97 + i % 7) for i in range(3_000_000))
-    got = audio.read_media(audio.media_column(docs(spark, [long, long + "x"]))).collect()
+    got = audio.read_media(audio.media_and_sound(docs(spark, [long, long + "x"]))).collect()
     assert {x["id"]: x["payload_sha256"] for x in got} == {i: hashlib.sha256(t.ljust(-(-len(t) // 192) * 192)).hexdigest() for i, t in enumerate((long.encode(), (long + "x").encode()))}
 
 

@@ -221,37 +221,61 @@ def feature(codec: str, x: np.ndarray) -> str:
     return f"{codec} {len(x)} {int(np.abs(wide).max()) if len(x) else 0} {power:.1f} {turns}"
 
 
-def _read(batches: Iterator[pa.RecordBatch], pcm: bool) -> Iterator[pa.RecordBatch]:
+def _sounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at, media in W.batches(batch, "media", READ_BYTES):
+            part = batch.slice(at.start, at.stop - at.start)
+            yield part.append_column("pcm", pa.array([pack_pcm(x) for _, _, x in decoded(media)], pa.binary()))
+    tidy()
+
+
+def with_sound(stored: DataFrame) -> DataFrame:
+    """(id, n_bytes, media, pcm) from (id, n_bytes, media): pcm is the sound at 16 kHz as pack_pcm() writes it.
+
+    Rows are decoded about a MB of media at a time, a longer one by itself, in up to 20 times
+    its bytes. All rows stay, other columns are not looked at; an empty table gives an
+    empty table. Sets the session's Arrow batches to 1000 rows at most.
+    """
+    text_batches(stored.sparkSession)
+    return stored.select("id", "n_bytes", "media").mapInArrow(_sounds, "id long, n_bytes long, media binary, pcm binary")
+
+
+def media_and_sound(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """with_sound(media_column(docs)) in one pass."""
+    text_batches(docs.sparkSession)
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return docs.mapInArrow(lambda it: _sounds(_stored(it)), "id long, n_bytes long, media binary, pcm binary")
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at, media in W.batches(batch, "media", READ_BYTES):
             part = batch.slice(at.start, at.stop - at.start)
             rows = []
-            for m, (codec, data, x) in zip(media, decoded(media)):
-                own = payload(codec, data, UNIT + 4)
-                rows.append((len(own), hashlib.sha256(own).hexdigest(), zlib.crc32(own[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature(codec, x), pack_pcm(x) if pcm else None))
+            for m, packed_sound in zip(media, part.column(3)):
+                codec, _, align, data = read_wav(m)
+                own = payload(codec, data, align)
+                rows.append((len(own), hashlib.sha256(own).hexdigest(), zlib.crc32(own[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature(codec, unpack_pcm(packed_sound.as_py()))))
             cols = list(zip(*rows))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["id", "n_bytes", *NAMES])
     tidy()
 
 
-NAMES = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm"]
+NAMES = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
 
-def read_media(stored: DataFrame, pcm: bool = True) -> DataFrame:
-    """(id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, pcm) from (id, n_bytes, media);
-    pcm: the sound at 16 kHz as pack_pcm() writes it, or null where it is not asked for.
+def read_media(sounds: DataFrame) -> DataFrame:
+    """(id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) from (id, n_bytes, media, pcm), the feature from the sound.
 
-    Rows are decoded about a MB of media at a time, a longer one by itself, in up to 20 times
-    its bytes. All rows stay, other columns are not looked at; an empty table gives an
-    empty table. Sets the session's Arrow batches to 1000 rows at most.
+    All rows stay, other columns are not looked at; an empty table gives an empty table.
+    Sets the session's Arrow batches to 1000 rows at most.
     """
-    text_batches(stored.sparkSession)
-    schema = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm binary"
-    return stored.select("id", "n_bytes", "media").mapInArrow(lambda it: _read(it, pcm), schema)
+    text_batches(sounds.sparkSession)
+    schema = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return sounds.select("id", "n_bytes", "media", "pcm").mapInArrow(_read, schema)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
-    """Coded media are stored and read back; the resampled sound is stored as well, and the digests with it."""
-    stored = packed(media_column(table(spark, sf_dir, "documents")), "media")
-    return packed(read_media(stored), "sound").drop("pcm").withColumnRenamed("id", "doc_id")
+    """Coded media and the resampled sound are stored and read back; digests are those of the media, features those of the sound."""
+    return read_media(packed(media_and_sound(table(spark, sf_dir, "documents")), "media")).withColumnRenamed("id", "doc_id")
