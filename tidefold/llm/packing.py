@@ -105,6 +105,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, end_id: int, size: int,
                 yield out()
     if docs:
         yield out()
+    encoder(path).forget()
     tidy()
 
 

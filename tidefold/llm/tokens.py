@@ -72,6 +72,12 @@ class Encoder:
     def _word(self, word: bytes) -> bytes:
         return _ids(self.whole.encode(word.decode(errors="replace"), add_special_tokens=False).ids)
 
+    def forget(self) -> None:
+        """Empty the tables, so that a worker's later stages have their memory."""
+        for table in (self.parts, self.words):
+            table.clear()
+            table.old = {}
+
     def encode(self, text: bytes) -> bytes:
         if self.short_cut and b"<|" not in text:
             plain = text.decode(errors="replace")
