@@ -552,9 +552,8 @@ def test_no_candidate_survives_the_first_level(spark):
 
 @pytest.mark.parametrize("n", [20, 7, 11])
 def test_substring_dedup(spark, n, monkeypatch):
-    from tidefold.llm import blocks
 
-    monkeypatch.setattr(blocks.blocks, "__defaults__", (3000,))
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", 3000)
     r = random.Random(n)
     passages = [prose(r, 25), prose(r, 60), "la " * 50]
     texts = [None, "", "short text", passages[0], " ".join(passages[0].split()[:19])]

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tidefold.llm.shared import table, text_batches, tidy
 from tidefold.llm.tokens import encoder
 
-GROUP_TOKENS = 4 << 20
+GROUP_TOKENS = 2 << 20
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_tokens long, padded_tokens long"
 
 

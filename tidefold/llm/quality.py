@@ -35,7 +35,7 @@ START = 2
 BROADCAST_ROWS = 1_000_000
 QUANTILE, MARGIN, SHORT = 0.99, 1.25, 50
 REPEAT, FEW_WORDS, REPEAT_MARGIN = 16, 4, 0.25
-SLICE, BLOCK_BYTES = 1 << 20, 6 << 20
+SLICE, BLOCK_BYTES = 1 << 19, 6 << 20
 BINS = 200  # of a unit of ln(perplexity), and of the repeated part
 TRUST, BLOCK_ROW = "_trusted", "_row"
 

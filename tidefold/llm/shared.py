@@ -64,6 +64,9 @@ def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
             spark.conf.set(name, before)
 
 
+ROW_GROUP = str(32 << 20)  # writers hold a row group each
+
+
 def _no_shuffles_left(spark: SparkSession):
     """What is written needs no shuffle files any more: they go when the write has ended, not when the driver next collects its garbage."""
     return setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
@@ -73,7 +76,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: lineage is cut, and a lost executor loses nothing."""
     path = new_path(df.sparkSession, name)
     with _no_shuffles_left(df.sparkSession):
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -81,7 +84,7 @@ def packed(df: DataFrame, name: str) -> DataFrame:
     """As written(), for large values: compressed by zstd at a high level, in pages long enough that rows like each other help."""
     path = new_path(df.sparkSession, name)
     with _no_shuffles_left(df.sparkSession):
-        df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "12").option("parquet.page.size", str(8 << 20)).parquet(path)
+        df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "12").option("parquet.page.size", str(8 << 20)).option("parquet.block.size", ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -90,7 +93,7 @@ def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     table = f"tidefold_{name}_{uuid.uuid4().hex}"
     path = new_path(df.sparkSession, name)
     with _no_shuffles_left(df.sparkSession):
-        df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(table)
+        df.write.format("parquet").bucketBy(buckets, key).option("parquet.block.size", ROW_GROUP).option("path", path).saveAsTable(table)
     _tables.append(table)
     return df.sparkSession.table(table)
 

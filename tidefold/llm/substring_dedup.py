@@ -27,7 +27,7 @@ from tidefold.llm import words as W
 from tidefold.llm.blocks import across_blocks, blocks, joined, split, unpack
 from tidefold.llm.shared import table, tidy, written
 
-BUCKET_ENTRIES = 1 << 18
+BUCKET_ENTRIES, BLOCK_BYTES = 1 << 18, 3 << 20
 LEAST = 5  # words at the first level
 WORDS, REMOVED = "substring_words", "substring_removed"
 _LAST = np.iinfo(np.int64).max
@@ -156,7 +156,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     docs = docs.drop(WORDS, REMOVED)
-    held = blocks(docs, "substring")
+    held = blocks(docs, "substring", BLOCK_BYTES)
     size = held.agg(F.sum("n_bytes").alias("b")).first()["b"] or 0
     many = docs.groupBy(F.col(id_col).alias("k")).count().filter("count > 1").limit(1).count() > 0
     *parts, _ = lengths(n)

@@ -14,7 +14,7 @@ import os
 import re
 from array import array
 
-CACHE = 250_000
+CACHE = 150_000
 _PLAIN = re.compile("[\x20-\x7e\t\n\x0b\x0c\r\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
 _PARTS = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff \t\n\x0b\x0c\r]+")
 #: The pattern and the normalisers of the files for which the short cut holds.
