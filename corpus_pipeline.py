@@ -2,9 +2,16 @@
 
 Each stage takes (spark, docs, sf_dir) and works on everything that the stage before
 it kept; its result is written as Parquet and read again as the next one's documents.
-All but the last return the columns of documents. Null, empty, very long and repeated
-rows pass through the stages as the operators' docstrings say; an empty table of
-documents gives an empty table of pieces.
+All but the last return the columns of documents, whatever other columns there are
+beside doc_id, text, lang and n_chars. In every stage:
+
+* a null text and an empty one are kept as they are; both are a piece of one token;
+* a text of any length is worked on whole;
+* rows that repeat an id are one document for near duplicates and passages: all of
+  them are kept or go together, and none is cut because of another;
+* rows without an id are judged by quality, never go as near duplicates, and count as one document
+  after all others where passages are cut;
+* an empty table gives an empty table.
 """
 
 from __future__ import annotations

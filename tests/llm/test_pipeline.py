@@ -5,6 +5,8 @@ import re
 
 import pytest
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from tests.llm.support import brute_components, brute_removed
 from tidefold.llm import packing
 
@@ -74,3 +76,29 @@ def test_run_of_nothing(spark, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(f"file://{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
+
+
+def test_odd_rows_pass_all_stages(spark, tmp_path):
+    """Rows without an id, repeated rows and ids, a very long text, null and empty ones, and columns named as those in between."""
+    r = random.Random(6)
+    prose = lambda n: " ".join(f"w{r.randrange(5000)}" for _ in range(n))
+    plain = [prose(60) for _ in range(12)]
+    rows = [(i, t) for i, t in enumerate(plain)] + [(3, plain[3]), (3, prose(50)), (None, plain[5]), (None, plain[6]), (20, prose(300_000)), (21, None), (22, ""), (23, plain[7]), (None, None)]
+    clash = ["id", "block", "component", "h", "key", "row", "_row", "_trusted", "z", "substring_words"]
+    docs = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], COLUMNS).withColumns({c: F.lit("clash") for c in clash})
+    path = f"file://{tmp_path}"
+    docs.repartition(3).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(24)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    docs, counts = spark.read.parquet(f"{path}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, corpus_pipeline.written(stage(spark, docs, path), "test")
+        if name != "packing":
+            assert docs.columns == [c for c in before.columns if name != "quality" or c not in ("_row", "_trusted")]
+            counts.append(sorted((str(x["doc_id"]), len(x["text"] or "")) for x in docs.select("doc_id", "text").collect()))
+    assert counts[0] == sorted((str(i), len(t or "")) for i, t in rows)
+    assert counts[1] == sorted((str(i), len(t or "")) for i, t in rows if i != 23)
+    assert ("None", 0) in counts[2] and len(counts[2]) == len(counts[1])
+    sums = {}
+    for x in docs.collect():
+        sums[x["doc_id"]] = sums.get(x["doc_id"], 0) + x["length"]
+    assert sums[21] == sums[22] == 1 and sums[20] > 300_000

@@ -104,7 +104,8 @@ def with_edit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     the next document's text, by ascending id, after the last the first. Rows with
     the same id follow each other by their texts. Rows without an id have no next
     document: their edited text is the first half, near_next is null. Null texts
-    count as empty.
+    count as empty; texts of any length are taken whole. Other columns are not looked at.
+    An empty table gives an empty table.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -113,20 +114,25 @@ def with_edit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     firsts = ids.groupBy(F.shiftright("id", SPAN).alias("b")).agg(F.min("id").alias("id")).select("id")
     after = written(following(firsts, "id"), "following").select(F.shiftright("id", SPAN).alias("bucket"), F.col("next").alias("id"))
 
-    own = rows.select("id", "text", "w", "sha", F.col("id").isNull().alias("loose"), F.coalesce(F.shiftright("id", SPAN), F.xxhash64("text")).alias("bucket"), F.lit(0).alias("last"))
-    ends = rows.where("id IS NOT NULL").join(after, "id").select("id", "text", "w", "sha", F.lit(False).alias("loose"), "bucket", F.lit(1).alias("last"))
-    order = Window.partitionBy("loose", "bucket").orderBy("last", "id", "text")
+    own = rows.where("id IS NOT NULL").select("id", "text", "w", "sha", F.shiftright("id", SPAN).alias("bucket"), F.lit(0).alias("last"))
+    ends = rows.where("id IS NOT NULL").join(after, "id").select("id", "text", "w", "sha", "bucket", F.lit(1).alias("last"))
+    order = Window.partitionBy("bucket").orderBy("last", "id", "text")
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
-    paired = (
+    told = (
         own.unionByName(ends)
         .select("*", F.lead("text").over(order).alias("next"), F.lead("w").over(order).alias("next_w"), F.lead("sha").over(order).alias("next_sha"))
         .where("last = 0")
-        .withColumn("next", F.when(F.col("loose"), F.lit("")).otherwise(F.coalesce("next", "text")))
+        .withColumn("next", F.coalesce("next", "text"))
         .select(
-            "id", "loose", n.cast("long").alias("n_chars"), "w", "sha", F.coalesce("next_w", "w").alias("next_w"), F.coalesce("next_sha", "sha").alias("next_sha"),
+            "id", F.lit(False).alias("loose"), n.cast("long").alias("n_chars"), "w", "sha", F.coalesce("next_w", "w").alias("next_w"), F.coalesce("next_sha", "sha").alias("next_sha"),
             F.concat(F.substring("text", F.lit(1), n - half), F.substring("next", F.lit(1), half)).alias("edited"),
         )
+    )
+    half_of = F.substring("text", F.lit(1), n - half)
+    loose = rows.where("id IS NULL").select("id", F.lit(True).alias("loose"), n.cast("long").alias("n_chars"), "w", "sha", F.col("w").alias("next_w"), F.col("sha").alias("next_sha"), half_of.alias("edited"))
+    paired = (
+        told.unionByName(loose)
         .withColumn("canonical", folded(F.col("edited")))
         .select("*", wide(F.col("canonical"), bits).alias("edited_w"), F.sha2("canonical", 256).alias("edited_csha"), F.sha2("edited", 256).alias("edited_sha256"))
         .drop("edited")

@@ -193,7 +193,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shingle; null texts and texts without words have none and are linked with
     nothing. component is the smallest id reachable over links. Rows with the same
     id are one document with the links of all of them. Rows without an id are
-    linked with nothing and have a null component. Other columns are not looked at.
+    linked with nothing and have a null component. A text, however long, is worked on
+    whole in one task. An empty table gives an empty table. Other columns are not looked
+    at. Sets the session's Arrow batches to 1000 rows at most.
     """
     bands = n_bands(percent)
     text_batches(docs.sparkSession)

@@ -118,7 +118,9 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     text is that id alone. Rows without an id keep a null doc_id, repeated rows are
     packed each for itself, other columns are not looked at. A group of about
     `group` tokens is packed at a time, so memory is bounded by that and the longest
-    text. An empty table gives an empty table.
+    text. Of pieces equally long the one that comes first is placed first, of sequences
+    with equal room the one that got it last is filled. An empty table gives an empty table.
+    Sets the session's Arrow batches to 1000 rows at most.
     """
     text_batches(docs.sparkSession)
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(lambda it: _pack(it, tokenizer, end_id, size, group), SCHEMA)

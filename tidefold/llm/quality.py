@@ -236,7 +236,10 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     part between their quantile and REPEAT_MARGIN more, where they part trusted and bad
     documents best; a language (null is one) without trusted text gets the limits of all
     languages together. Without any trusted text everything is kept. Rows without an id are scored, never trusted; repeated rows
-    all count. Columns named _trusted and _row in the input are dropped.
+    all count. A text, however long, is scored whole, in one task. An empty table gives
+    empty scores. Columns named _trusted and _row in the input are dropped; n counts
+    UTF-16 units. A text's own U+0002 counts as the start of a text. Sets the session's
+    Arrow batches to 1000 rows at most.
     """
     docs = docs.drop(TRUST, BLOCK_ROW)
     good = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(
@@ -268,7 +271,7 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs that the classifier keeps, with all their columns."""
+    """The rows of docs that the classifier keeps, with all their columns but _trusted and _row. Nulls, long texts and empty tables as in quality()."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     held, scores = quality(docs, labels, **options)

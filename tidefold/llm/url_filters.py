@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tidefold.llm.shared import table, written
 
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
-#: Suffixes of two labels under which names are registered.
+#: Suffixes of two labels under which names are registered, for want of the whole public list; callers may give their own.
 LONG_SUFFIXES = ["ac.uk", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "gov.uk", "ne.jp", "net.au", "or.jp", "org.au", "org.uk"]
 Z, LIMIT = 1.645, 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -55,14 +55,18 @@ def _firmness(groups: DataFrame) -> float:
     return (1 - rho) / rho
 
 
-def host_reputation(outcomes: DataFrame, z: float = Z) -> DataFrame:
-    """outcomes: (host, bad), bad null where unlabelled. Returns (host, labelled, bad_pages, mean, lower) for every host."""
+def host_reputation(outcomes: DataFrame, z: float = Z, suffixes: list[str] = LONG_SUFFIXES) -> DataFrame:
+    """outcomes: (host, bad), bad null where unlabelled. Returns (host, labelled, bad_pages, mean, lower) for every host.
+
+    suffixes: those of two labels; any other suffix is the last label. lower is z standard
+    deviations of the posterior below its mean, which stands for its quantile.
+    """
     hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("y"))
     name = F.regexp_replace("host", r":\d*$", "")
     number = name.rlike(r"^[0-9.]+$|^\[")
     two = F.regexp_extract(name, r"([^.]+\.[^.]+)$", 1)
-    suffix = F.when(number, name).when(two.isin(LONG_SUFFIXES), two).otherwise(F.regexp_extract(name, r"([^.]*)$", 1))
-    labels = F.when(number, name).when(two.isin(LONG_SUFFIXES), F.regexp_extract(name, r"([^.]+\.[^.]+\.[^.]+)$", 1)).otherwise(two)
+    suffix = F.when(number, name).when(two.isin(suffixes), two).otherwise(F.regexp_extract(name, r"([^.]*)$", 1))
+    labels = F.when(number, name).when(two.isin(suffixes), F.regexp_extract(name, r"([^.]+\.[^.]+\.[^.]+)$", 1)).otherwise(two)
     hosts = written(hosts.select("host", "n", "y", suffix.alias("suffix"), F.when(labels == "", name).otherwise(labels).alias("domain")), "hosts")
     all_ = hosts.agg(F.sum("n").alias("n"), F.sum("y").alias("y")).first()
     top = ((all_["y"] or 0) + 0.5) / ((all_["n"] or 0) + 1)
@@ -84,12 +88,13 @@ def host_reputation(outcomes: DataFrame, z: float = Z) -> DataFrame:
     return rated.select("host", F.col("n").alias("labelled"), F.col("y").alias("bad_pages"), F.col("rate").alias("mean"), lower.alias("lower"))
 
 
-def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", limit: float = LIMIT) -> DataFrame:
+def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", limit: float = LIMIT, suffixes: list[str] = LONG_SUFFIXES) -> DataFrame:
     """(id, host, path, rule, verdict, lower) for every page.
 
     labels: (doc_id, quality, toxic) of some pages; one is bad if any of its labels
     has quality 0 or toxic 1. Null urls and urls without '://' have an empty host and
-    path and are judged by the reputation of the empty host. Rows without an id have
+    path and are judged by the reputation of the empty host; urls of any length are
+    taken whole. Of rules that fit the longest counts, of equally long ones the first by name. Rows without an id have
     no label; repeated rows are all judged and counted. An empty table gives an
     empty table; other columns are not looked at.
     """
@@ -97,7 +102,7 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]]
     parsed = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
     bad = labels.groupBy(F.col("doc_id").alias("id")).agg(F.max(((F.col("quality") == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).cast("int")).alias("bad"))
     outcomes = parsed.select("id", "host").join(bad, "id", "left").select("host", "bad")
-    reputation = written(host_reputation(outcomes).select("host", "lower"), "reputation")
+    reputation = written(host_reputation(outcomes, suffixes=suffixes).select("host", "lower"), "reputation")
     out = parsed.join(reputation, "host", "left").withColumn("hit", matching_rule(F.col("host"), F.col("path"), rules))
     own = F.when(F.col("lower") > limit, "block").otherwise("allow")
     return out.select("id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", own).alias("verdict"), "lower")
