@@ -10,6 +10,7 @@ from tidefold.operators import bloom, commands, election, fold, handoff, replica
 from tidefold.plans.model import BLOOM_RATE, change_log, read
 from tidefold.sources import binary, files
 from tidefold.streaming import fold as streaming
+from tidefold.streaming import hints as aged
 
 NODES = ["node1", "node2", "node3"]
 MORE_NODES = [f"node{i}" for i in range(1, 6)]
@@ -101,6 +102,14 @@ def _rebalance(spark, sf_dir) -> DataFrame:
     return ring.rebalance(_orders(spark, sf_dir), F.col("key"), _ring(spark), _ring(spark, ["node1", "node3"]))
 
 
+def _hints_cleaned(spark, sf_dir) -> DataFrame:
+    folder, path = files.new_folder(spark, "cleaned"), f"{sf_dir}/events.parquet"
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
+    aged.clean(handoff.generated(replication.attempts(change_log(events))), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    out = spark.read.schema("target_node string, opened timestamp, removed long").parquet(f"{folder}/out")
+    return out.select("target_node", F.date_format("opened", "yyyy-MM-dd HH:mm").alias("opened"), "removed")
+
+
 def _routed(spark, sf_dir) -> DataFrame:
     return replication.routed(_log(spark, sf_dir), _ring(spark, MORE_NODES, 3))
 
@@ -215,6 +224,7 @@ QUERIES = {
     "hint_counts": lambda s, d: handoff.counts(_hints(s, d)),
     "hints_capped": lambda s, d: handoff.capped(_hints(s, d), HINTS_KEPT).select("target_node", "k", "ver"),
     "hints_expired": _expired,
+    "hints_cleaned": _hints_cleaned,
     "hint_remove_at": lambda s, d: handoff.remove_at(_hints(s, d), 1).select("target_node", "k", "ver"),
     "hint_replay": lambda s, d: handoff.replay(_replicas(s, d), _hints(s, d)),
     "raft_vote_decision": lambda s, d: _decided(s, d).select("voter", "term", "candidate", "arrival", "granted"),
@@ -370,6 +380,8 @@ count(*) >= 2 AND min(ver) <> max(ver) AS needs_repair FROM st GROUP BY k""",
     "hint_counts": f"{_HINT} SELECT target_node, count(*) AS n FROM hi GROUP BY target_node",
     "hints_capped": f"{_HINT} SELECT target_node, k, ver FROM hi QUALIFY row_number() OVER (PARTITION BY target_node ORDER BY created_at, ver) <= {HINTS_KEPT}",
     "hints_expired": f"{_HINT}, m AS (SELECT max(ts) AS t FROM events) SELECT target_node, count(*) FILTER (created_at > t - INTERVAL 24 HOURS) AS kept, count(*) FILTER (NOT created_at > t - INTERVAL 24 HOURS) AS removed FROM hi CROSS JOIN m GROUP BY target_node",
+    "hints_cleaned": f"""{_HINT}, m AS (SELECT max(created_at) AS t FROM hi) SELECT target_node, strftime(date_trunc('hour', created_at), '%Y-%m-%d %H:%M') AS opened, count(*) AS removed FROM hi CROSS JOIN m
+WHERE date_trunc('hour', created_at) + INTERVAL 1 HOUR <= t - INTERVAL 24 HOURS GROUP BY target_node, date_trunc('hour', created_at)""",
     "hint_remove_at": f"{_HINT} SELECT target_node, k, ver FROM hi QUALIFY row_number() OVER (PARTITION BY target_node ORDER BY created_at, ver) <> 2",
     "hint_replay": f"{_REP} SELECT n, k, seq AS ver, op, v FROM tr QUALIFY row_number() OVER (PARTITION BY n, k ORDER BY seq DESC) = 1",
     "raft_vote_decision": f"{_VOTE} SELECT * FROM d",
