@@ -28,8 +28,13 @@ def pack(table: pa.Table) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def unpack(blob: bytes) -> pa.Table:
-    return pa.ipc.open_stream(blob).read_all()
+def unpack(blob: bytes, columns: list[str] | None = None) -> pa.Table:
+    """A block's rows; with columns, only these are decompressed."""
+    if columns is None:
+        return pa.ipc.open_stream(blob).read_all()
+    names = pa.ipc.open_stream(blob).schema.names
+    fields = sorted(names.index(c) for c in columns)
+    return pa.ipc.open_stream(blob, options=pa.ipc.IpcReadOptions(included_fields=fields)).read_all()
 
 
 def _cut(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:

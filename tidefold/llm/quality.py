@@ -32,12 +32,10 @@ from tidefold.llm.shared import apart, table, tidy, written
 
 ORDER = 4
 START = 2
-BROADCAST_ROWS = 1_000_000
 QUANTILE, MARGIN, SHORT = 0.99, 1.25, 50
 REPEAT, FEW_WORDS, REPEAT_MARGIN = 16, 4, 0.25
 SLICE, BLOCK_BYTES = 1 << 19, 6 << 20
 BINS = 200  # of a unit of ln(perplexity), and of the repeated part
-TRUST, BLOCK_ROW = "_trusted", "_row"
 
 
 def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -89,21 +87,34 @@ def _slices(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
             first, size = i + 1, 0
 
 
-def _distinct(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:
+def _places(batches: Iterator[pa.RecordBatch], id_col: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block, blob in zip(batch.column("block").to_pylist(), batch.column("rows").to_pylist()):
-            rows = unpack(blob)
-            trusted, found, counts = rows.column(TRUST).fill_null(False).to_numpy(), [], []
-            for first, texts in _slices(rows.column(text_col).to_pylist()):
-                g, bounds = grams(texts)
+            ids = unpack(blob, [id_col]).column(0).cast(pa.int64()).combine_chunks()
+            yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(len(ids), block, np.int64)), "row": pa.array(np.arange(len(ids))), "id": ids})
+    tidy()
+
+
+def _distinct(text_col: str):
+    """(block, g, n): the different n-grams of a block, with their counts in its trusted texts."""
+    def count(key, held: pa.Table, marks: pa.Table) -> pa.Table:
+        tidy()
+        found, counts, own, n = [], [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if held.num_rows:
+            texts = unpack(held.column("rows")[0].as_py(), [text_col]).column(0).to_pylist()
+            trusted = np.zeros(len(texts), bool)
+            trusted[marks.column("row").to_numpy()] = marks.column("trusted").to_numpy()
+            for first, part in _slices(texts):
+                g, bounds = grams(part)
                 codes, own = pd.factorize(g)
                 found.append(own)
-                counts.append(np.bincount(codes[np.repeat(trusted[first : first + len(texts)], np.diff(bounds))], minlength=len(own)))
-            if found:
-                codes, own = pd.factorize(np.concatenate(found))
-                n = np.bincount(codes, weights=np.concatenate(counts), minlength=len(own)).astype(np.int64)
-                yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(len(own), block, np.int64)), "g": pa.array(own), "n": pa.array(n)})
-    tidy()
+                counts.append(np.bincount(codes[np.repeat(trusted[first : first + len(part)], np.diff(bounds))], minlength=len(own)))
+        if found:
+            codes, own = pd.factorize(np.concatenate(found))
+            n = np.bincount(codes, weights=np.concatenate(counts), minlength=len(own)).astype(np.int64)
+        return pa.table({"block": pa.array(np.full(len(own), key[0].as_py(), np.int64)), "g": pa.array(own), "n": pa.array(n)})
+
+    return count
 
 
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -155,7 +166,7 @@ def _score(text_col: str, id_col: str, lang_col: str):
         tidy()
         if not held.num_rows:
             return SCORED.empty_table()
-        rows = unpack(held.column("rows")[0].as_py())
+        rows = unpack(held.column("rows")[0].as_py(), [id_col, lang_col, text_col])
         have, lp = known.column("g").to_numpy(), known.column("lp").to_numpy()
         order = np.argsort(have)
         have, lp = have[order], lp[order]
@@ -175,14 +186,13 @@ def _score(text_col: str, id_col: str, lang_col: str):
         block = held.column("block")[0].as_py()
         return pa.table({
             "block": pa.array(np.full(n, block, np.int64)), "row": pa.array(np.arange(n)), "id": rows.column(id_col).cast(pa.int64()).combine_chunks(),
-            "lang": rows.column(lang_col).cast(pa.string()).combine_chunks(), "trusted": rows.column(TRUST).combine_chunks(),
-            "n": pa.array(sizes), "nll": pa.array(nll), "repeated": pa.array(again),
+            "lang": rows.column(lang_col).cast(pa.string()).combine_chunks(), "n": pa.array(sizes), "nll": pa.array(nll), "repeated": pa.array(again),
         }).cast(SCORED)
 
     return score
 
 
-SCORED = pa.schema([("block", pa.int64()), ("row", pa.int64()), ("id", pa.int64()), ("lang", pa.string()), ("trusted", pa.bool_()), ("n", pa.int64()), ("nll", pa.float64()), ("repeated", pa.float64())])
+SCORED = pa.schema([("block", pa.int64()), ("row", pa.int64()), ("id", pa.int64()), ("lang", pa.string()), ("n", pa.int64()), ("nll", pa.float64()), ("repeated", pa.float64())])
 
 
 def _quantile(scored: DataFrame, q: float, *keys: str) -> DataFrame:
@@ -237,25 +247,24 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     documents best; a language (null is one) without trusted text gets the limits of all
     languages together. Without any trusted text everything is kept. Rows without an id are scored, never trusted; repeated rows
     all count. A text, however long, is scored whole, in one task. An empty table gives
-    empty scores. Columns named _trusted and _row in the input are dropped; n counts
+    empty scores. Other columns are not looked at. n counts
     UTF-16 units. A text's own U+0002 counts as the start of a text. Sets the session's
     Arrow batches to 1000 rows at most.
     """
-    docs = docs.drop(TRUST, BLOCK_ROW)
     good = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(
         F.min(((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) != 1)).cast("int")).alias("good"), F.min("quality").alias("least")
     )
-    good = written(good.where("good = 1 OR least = 0").select("_id", (F.col("good") == 1).alias(TRUST)), "trusted")
-    few = F.broadcast(good) if good.count() <= BROADCAST_ROWS else good
-    marked = docs.join(few, F.col(id_col) == F.col("_id"), "left").drop("_id")
-    held = blocks(marked, "quality", BLOCK_BYTES)
-    rows = written(held.select("block", "rows").mapInArrow(lambda it: _distinct(it, text_col), "block long, g long, n long"), "grams")
+    good = good.where("good = 1 OR least = 0").select(apart("_id").alias("_id"), (F.col("good") == 1).alias("trusted"))
+    held = blocks(docs, "quality", BLOCK_BYTES)
+    places = held.select("block", "rows").mapInArrow(lambda it: _places(it, id_col), "block long, row long, id long")
+    marks = written(places.join(good, F.col("id") == F.col("_id")).select("block", "row", "trusted"), "marks")
+    rows = written(held.select("block", "rows").groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_distinct(text_col), "block long, g long, n long"), "grams")
     known = log_probabilities(rows.groupBy("g").agg(F.sum("n").alias("c"))).select(apart("g").alias("k"), "lp")
     known = rows.select("block", "g").join(known, F.col("g") == F.col("k")).select("block", "g", "lp")
     scored = held.select("block", "rows").groupBy("block").cogroup(known.groupBy("block")).applyInArrow(
-        _score(text_col, id_col, lang_col), "block long, row long, id long, lang string, trusted boolean, n long, nll double, repeated double"
+        _score(text_col, id_col, lang_col), "block long, row long, id long, lang string, n long, nll double, repeated double"
     )
-    scored = written(scored.withColumn("lang", F.coalesce("lang", F.lit(""))), "scored")
+    scored = written(scored.join(marks, ["block", "row"], "left").withColumn("lang", F.coalesce("lang", F.lit(""))), "scored")
 
     plain = scored.where("trusted AND n > 0").withColumn("x", F.col("nll") / F.col("n"))
     middle = written(_quantile(plain, 0.5, "lang").withColumnRenamed("x", "mid"), "middle")
@@ -271,12 +280,11 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs that the classifier keeps, with all their columns but _trusted and _row. Nulls, long texts and empty tables as in quality()."""
+    """The rows of docs that the classifier keeps, with all their columns. Nulls, long texts and empty tables as in quality()."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     held, scores = quality(docs, labels, **options)
-    schema = docs.drop(TRUST, BLOCK_ROW).schema
-    empty = to_arrow_schema(schema).empty_table()
+    empty = to_arrow_schema(docs.schema).empty_table()
 
     def keep(key, block: pa.Table, rejected: pa.Table) -> pa.Table:
         tidy()
@@ -285,9 +293,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
         rows = unpack(block.column("rows")[0].as_py())
         kept = np.ones(rows.num_rows, bool)
         kept[rejected.column("row").to_numpy()] = False
-        return rows.drop_columns([TRUST]).filter(pa.array(kept))
+        return rows.filter(pa.array(kept))
 
-    return held.select("block", "rows").groupBy("block").cogroup(scores.where("NOT kept").select("block", "row").groupBy("block")).applyInArrow(keep, schema)
+    return held.select("block", "rows").groupBy("block").cogroup(scores.where("NOT kept").select("block", "row").groupBy("block")).applyInArrow(keep, docs.schema)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
