@@ -5,8 +5,10 @@ import unicodedata
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -114,6 +116,38 @@ def test_near_duplicates_of_a_large_group(spark):
     assert got == brute_components(list(enumerate(texts)), 85)
 
 
+def test_cells_give_no_more_links_than_components():
+    to, r = zstandard.ZstdCompressor(), random.Random(16)
+    family, other = prose(r, 200), prose(r, 200)
+    texts = [f"{family} e{i}" for i in range(40)] + [f"{other} e{i}" for i in range(40)] + [prose(r, 200) for _ in range(5)]
+    rows = [(i, i, g, to.compress(t.encode())) for g in (False, True) for i, t in enumerate(texts)]
+    rows += [(100 + i, 0, False, to.compress(f"{family} f{i}".encode())) for i in range(3)]
+    cell = pa.table(dict(zip(("id", "comp", "guest", "z"), map(list, zip(*rows)))))
+    got = minhash._cell(5, 80)(cell).to_pylist()
+    want = brute_components([(i, t) for i, t in enumerate(texts)], 80)
+    comp = {x[0]: x[1] for x in rows}
+    root = {c: c for c in comp.values()}
+    for x in got:
+        a, b = root[comp[x["a"]]], root[comp[x["b"]]]
+        assert a != b
+        root = {c: min(a, b) if y in (a, b) else y for c, y in root.items()}
+    assert root == want and len(got) == 39 + 39
+
+
+def test_near_duplicates_of_two_families_in_a_bucket(spark, monkeypatch):
+    """The pivot's family is one component after a round, the other one after the next; cells alone find the same."""
+    r = random.Random(17)
+    head, rows = prose(r, 130), []
+    for f in range(2):
+        tail = prose(r, 30).split(" ")
+        rows += [f"{head} {' '.join(tail)} x{i}" for i in range(40 - 10 * f)]
+    found = brute_components(list(enumerate(rows)), 85)
+    assert len(set(found.values())) == 2
+    for rounds in (1, 2):
+        monkeypatch.setattr(minhash, "PIVOTS", rounds)
+        assert {x["id"]: x["component"] for x in minhash.near_duplicates(docs(spark, rows), percent=85).collect()} == found
+
+
 def test_rows_of_an_id_join_their_texts(spark):
     """doc 5 has the texts of 3 and of 4, doc 8 an own text and a near copy of 4's; neither id represents both of its texts."""
     r = random.Random(15)

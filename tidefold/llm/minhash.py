@@ -7,7 +7,8 @@
    member is paired with one pivot, never with all others. A pair is looked at
    closer if its signatures agree, and becomes a link if the full shingle sets do.
 3. Links are joined to components. In buckets whose members are still in more than
-   one component, the members outside the largest are held against all others by full
+   one component, those outside the largest get a pivot of their own, so that a second
+   family of copies becomes a component too. What is left outside is held against all others by full
    sets, in cells of bounded size. So no link is lost by pairing with pivots alone.
 
 Before 2, members that can't have a partner in their bucket go: a link needs common
@@ -35,6 +36,7 @@ ROWS_PER_BAND = 4
 MISS = 1e-7
 OWN_ROWS, VISITORS = 128, 512
 CELL_SHINGLES = 200_000
+PIVOTS = 2  # rounds of them
 BUCKET_ENTRIES = 1 << 18
 BROADCAST_ROWS = 1_000_000
 
@@ -154,10 +156,17 @@ def _shared_counts(k: int):
 
 
 def _cell(k: int, percent: int):
-    """Links between a cell's visitors and its own rows that are in different components."""
+    """Links between a cell's visitors and its own rows: as many as join all components that any of them joins, so never more than there are components."""
     def links(cell: pa.Table) -> pa.Table:
         ids, comps, guest = (cell.column(c).to_numpy() for c in ("id", "comp", "guest"))
         out: list[tuple[int, int]] = []
+        above: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while c in above:
+                above[c] = c = above.get(above[c], above[c])
+            return c
+
         own = np.flatnonzero(~guest)
         if len(own) and guest.any():
             sets = _sets(cell.column("z").to_pylist(), k)
@@ -172,7 +181,12 @@ def _cell(k: int, percent: int):
                 at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
                 both = np.bincount(holder[at], minlength=len(own))
                 hit = (100 * both >= percent * (sizes[own] + sizes[i] - both)) & (comps[own] != comps[i])
-                out += [(min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))) for j in own[hit]]
+                others, first = np.unique(comps[own[hit]], return_index=True)
+                for c, j in zip(others.tolist(), own[hit][first]):
+                    x, y = top(c), top(int(comps[i]))
+                    if x != y:
+                        above[x] = y
+                        out.append((min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))))
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return links
@@ -225,28 +239,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         members = members.join(fit, F.col("key") == F.col("k")).where("room >= least AND size <= most")
     members = written(members.select("key", "id", "size", "n"), "live")
 
-    degree = members.groupBy("id").agg(F.sum("n").alias("degree"))
-    ranked = members.join(degree, "id").groupBy("key").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("pivot")).select(apart("key").alias("k"), "pivot")
-    pairs = members.join(ranked, F.col("key") == F.col("k")).where("id <> pivot")
-    pairs = written(pairs.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(), "pairs")
-
     n, t = bands * ROWS_PER_BAND, percent / 100
     least = t - 6.5 * math.sqrt(t * (1 - t) / n)
 
     def both(left: DataFrame, right: DataFrame, c: str) -> DataFrame:
         return left.join(right.select(F.col("id").alias("a"), F.col(c).alias("x")), "a").join(right.select(F.col("id").alias("b"), F.col(c).alias("y")), "b").select("a", "b", "x", "y")
 
-    likely = written(both(pairs, wanted, "sig").mapInArrow(lambda it: _agree(it, least), "a long, b long"), "likely")
-    edges = written(both(likely, texts, "z").mapInArrow(lambda it: _verify(it, k, percent), "a long, b long").distinct(), "links")
-
-    comps = components(edges)
-    rows = written(members.join(comps, members.id == comps.node, "left").select("key", "id", "size", F.coalesce("component", "id").alias("comp")), "rows")
-    by_comp = rows.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
-    mixed = by_comp.groupBy("key").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "comp")).alias("top")).where("top.n < n").select(
-        apart("key").alias("k"), F.greatest(F.ceil(F.col("n") / OWN_ROWS), F.ceil(F.col("size") / CELL_SHINGLES)).cast("int").alias("cells"),
-        F.greatest(F.ceil((F.col("n") - F.col("top.n")) / VISITORS), F.ceil(F.col("size") * (1 - F.col("top.n") / F.col("n")) / CELL_SHINGLES)).cast("int").alias("guests"), F.col("top.comp").alias("main"),
-    )
-    left = rows.join(mixed, F.col("key") == F.col("k")).drop("k", "size").join(texts, "id")
+    def linked(rows: DataFrame) -> DataFrame:
+        """Links of the rows (key, id, n, comp) with their bucket's pivot, where that is of another component."""
+        degree = rows.groupBy("id").agg(F.sum("n").alias("degree"))
+        best = F.max_by(F.struct("id", "comp"), F.struct("degree", -F.col("id"))).alias("best")
+        ranked = rows.join(degree, "id").groupBy("key").agg(best).select(apart("key").alias("k"), F.col("best.id").alias("pivot"), F.col("best.comp").alias("its"))
+        pairs = rows.join(ranked, F.col("key") == F.col("k")).where("comp <> its")
+        pairs = written(pairs.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(), "pairs")
+        likely = written(both(pairs, wanted, "sig").mapInArrow(lambda it: _agree(it, least), "a long, b long"), "likely")
+        return written(both(likely, texts, "z").mapInArrow(lambda it: _verify(it, k, percent), "a long, b long").distinct(), "links")
+
+    edges = linked(members.withColumn("comp", F.col("id")))
+    for last in [False] * (PIVOTS - 1) + [True]:
+        comps = components(edges)
+        rows = written(members.join(comps, members.id == comps.node, "left").select("key", "id", "size", "n", F.coalesce("component", "id").alias("comp")), "rows")
+        by_comp = rows.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+        mixed = by_comp.groupBy("key").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "comp")).alias("top")).where("top.n < n").select(
+            apart("key").alias("k"), F.greatest(F.ceil(F.col("n") / OWN_ROWS), F.ceil(F.col("size") / CELL_SHINGLES)).cast("int").alias("cells"),
+            F.greatest(F.ceil((F.col("n") - F.col("top.n")) / VISITORS), F.ceil(F.col("size") * (1 - F.col("top.n") / F.col("n")) / CELL_SHINGLES)).cast("int").alias("guests"), F.col("top.comp").alias("main"),
+        )
+        if last:
+            break
+        outside = written(rows.join(mixed.select("k", "main"), F.col("key") == F.col("k")).where("comp <> main").select("key", "id", "n", "comp"), "outside")
+        if outside.isEmpty():
+            break
+        edges = written(edges.union(linked(outside)), "links")
+
+    left = rows.join(mixed, F.col("key") == F.col("k")).drop("k", "size", "n").join(texts, "id")
     i, j = F.pmod(F.xxhash64("id"), F.col("cells")).cast("int"), F.pmod(F.xxhash64(F.lit("guest"), "id"), F.col("guests")).cast("int")
     own = left.select("key", "id", "comp", "z", i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("guests") - 1)).alias("j"), F.lit(False).alias("guest"))
     guests = left.where("comp <> main").select("key", "id", "comp", "z", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("i"), j.alias("j"), F.lit(True).alias("guest"))
