@@ -250,6 +250,35 @@ def test_bloom_over_more_than_64_runs(spark):
     assert tuple(bloom.hit_miss(runs, keys, m, k).first())[:2] == (hits, misses)
 
 
+def test_bloom_counters_of_odd_rows(spark):
+    """Runs without a number, with numbers below 0 or without a key; repeated rows; a key that is null or asked twice."""
+    r = random.Random(3)
+    rows = [(t, f"k{r.randrange(40)}") for t in range(-70, 70, 3) for _ in range(4)] + [(t, None) for t in (5, 200)] + [(None, "k1"), (None, "alone"), (None, None)]
+    asked = [*[f"k{i}" for i in range(60)], "alone", "k7", None]
+    m, k = 50, 2
+    own = {t: {b for x, n in rows if x == t and t is not None and n is not None for b in _bits(n, m, k)} for t in {t for t, _ in rows}}
+    hits = misses = 0
+    for name in asked:
+        newest = max((t for t, n in rows if t is not None and name is not None and n == name), default=None)
+        for t in own:
+            if newest is None or t is not None and t >= newest:
+                there = name is not None and set(_bits(name, m, k)) <= own[t]
+                hits, misses = hits + (not there), misses + there
+    runs = spark.createDataFrame(rows * 2, "tid long, k string")
+    got = bloom.hit_miss(runs, spark.createDataFrame([(n,) for n in asked], "k string"), m, k).first()
+    assert tuple(got) == (hits, misses, round(hits / (hits + misses) * 100, 6))
+
+
+def test_bloom_probes_broadcast_nothing(spark):
+    """Keys that look few in a plan may be many rows of bits: they must not go to the driver."""
+    runs, keys = spark.range(1000).select(F.expr("id div 10").alias("tid"), F.concat(F.lit("k"), "id").alias("k")), spark.range(50).select(F.concat(F.lit("k"), "id").alias("k"))
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) > 0
+    for out in (bloom.hit_miss(runs, keys, 100, 3), bloom.passing(runs, keys, 100, 3)):
+        rows = out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert rows and "CartesianProduct" in plan and "Broadcast" not in plan
+
+
 def _bits(name, m, k):
     h1, h2 = _fnv(name.encode(), True), _fnv(name.encode(), False)
     return [(h1 + i * h2 & 0xFFFFFFFF) % m for i in range(k)]

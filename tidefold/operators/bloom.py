@@ -2,20 +2,26 @@
 
 A key is tested against 64 runs at a time: for each bit, a number tells which of 64
 runs have it set, and the conjunction over a key's bits tells which runs may hold it.
-Pairs of key and run come up only where the filter passes.
+These numbers lie in one array for 64 runs, and keys come in blocks; every array meets
+every block in a task, so no row for a key's bit is shuffled and nothing is broadcast.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidefold.functions.hashing import fnv_pair
 from tidefold.plans.model import BLOOM_KEYS, BLOOM_RATE, UINT32
 
 ABREAST = 64
+#: Keys are dealt to so many blocks, whatever their number; arrays are put together from pieces of so many bits.
+BLOCKS, PIECE = 256, 4096
+#: Partitions of arrays and of blocks at most: each pair of them is a task.
+SIDE = 32
 #: Bytes of a filter that are put together as one number.
 WORD = 7
 
@@ -38,9 +44,14 @@ def _hashed(df: DataFrame) -> DataFrame:
     return df.withColumn("h", fnv_pair(F.col("k")))
 
 
+def _each(m: int, k: int) -> list[Column]:
+    """The bits of a key with hashes h: h1 + i * h2 in 32 bits, modulo m; some may be equal."""
+    return [(F.col("h.h1") + F.col("h.h2") * i).bitwiseAND(F.lit(UINT32)) % m for i in range(k)]
+
+
 def _places(m: int, k: int) -> Column:
-    """The different bits of a key with hashes h: h1 + i * h2 in 32 bits, modulo m."""
-    return F.array_distinct(F.array(*[(F.col("h.h1") + F.col("h.h2") * i).bitwiseAND(F.lit(UINT32)) % m for i in range(k)]))
+    """The different bits of a key with hashes h."""
+    return F.array_distinct(F.array(*_each(m, k)))
 
 
 def bits(runs: DataFrame, m: int, k: int) -> DataFrame:
@@ -88,19 +99,38 @@ def may_contain(parsed: DataFrame, keys: DataFrame) -> DataFrame:
     return asked.select("tid", "k", there.alias("may_contain"))
 
 
-def _abreast(tid: Column) -> tuple[Column, Column]:
+def _abreast(tid: str) -> tuple[Column, Column]:
     """(which 64 runs, the bit of a run among them)."""
-    return F.expr(f"tid div {ABREAST}"), F.expr(f"shiftleft(1L, cast(tid % {ABREAST} as int))")
+    return F.expr(f"({tid} - pmod({tid}, {ABREAST})) div {ABREAST}"), F.expr(f"shiftleft(1L, cast(pmod({tid}, {ABREAST}) as int))")
+
+
+def _arrays(runs: DataFrame, m: int, k: int) -> DataFrame:
+    """(part, words): for 64 runs, words[b] tells which of them have bit b set, and words[m] which of them there are. Rows of runs (tid, k) may repeat.
+
+    A run without a number is a part of its own that has no bits.
+    """
+    part, own = _abreast("tid")
+    rows = _hashed(runs.select("tid", "k")).select(part.alias("part"), own.alias("own"), F.explode(F.array(*_each(m, k), F.lit(m).cast("long"))).alias("bit"))
+    rows = rows.select("part", "bit", F.coalesce("own", F.when(F.col("bit") == m, F.lit(1).cast("long"))).alias("own")).where("bit IS NOT NULL AND own IS NOT NULL")
+    blank = runs.select(part.alias("part")).distinct().select("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m).cast("long"))).alias("bit"), F.lit(0).cast("long").alias("own"))
+    whole = rows.union(blank).groupBy("part", "bit").agg(F.bit_or("own").alias("has"))
+    pieces = whole.groupBy("part", F.expr(f"bit div {PIECE}").alias("piece")).agg(F.sort_array(F.collect_list(F.struct("bit", "has"))).alias("xs"))
+    joined = pieces.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("piece", F.col("xs.has").alias("has")))).alias("xs"))
+    return joined.select("part", F.flatten("xs.has").alias("words"))
+
+
+def _tested(runs: DataFrame, keys: DataFrame, m: int, k: int) -> DataFrame:
+    """keys (k and others), part, there, let: for every key and 64 runs, which runs there are and which of them let the key pass (none: 0 or null), as bits."""
+    asked = _hashed(keys).select(*keys.columns, F.array(*[b.cast("int") for b in _each(m, k)]).alias("places"))
+    blocks = asked.groupBy(F.expr(f"pmod(xxhash64(k), {BLOCKS})").alias("block")).agg(F.collect_list(F.struct(*asked.columns)).alias("asked")).select("asked")
+    met = _arrays(runs, m, k).coalesce(SIDE).hint("shuffle_replicate_nl").crossJoin(blocks.coalesce(SIDE)).select("part", "words", F.inline("asked"))
+    let = reduce(Column.bitwiseAND, [F.get("words", F.get("places", F.lit(i))) for i in range(k)])
+    return met.select(*keys.columns, "part", F.get("words", F.lit(m)).alias("there"), let.alias("let"))
 
 
 def passing(runs: DataFrame, keys: DataFrame, m: int, k: int) -> DataFrame:
     """(k, part, let): for keys (k, distinct), which of the 64 runs of a part let the key pass, as bits; parts where none does are left out."""
-    part, own = _abreast(F.col("tid"))
-    slices = bits(runs, m, k).select(part.alias("part"), "bit", own.alias("own")).groupBy("part", "bit").agg(F.bit_or("own").alias("has"))
-    asked = _hashed(keys.select("k")).select("k", _places(m, k).alias("ps"))
-    asked = asked.select("k", F.size("ps").alias("n"), F.explode("ps").alias("bit"))
-    found = asked.join(slices, "bit").groupBy("k", "part").agg(F.bit_and("has").alias("let"), F.count("*").alias("met"), F.first("n").alias("n"))
-    return found.where("met = n AND let <> 0").select("k", "part", "let")
+    return _tested(runs, keys.select("k"), m, k).where("let <> 0").select("k", "part", "let")
 
 
 def probe(runs: DataFrame, keys: DataFrame, m: int, k: int) -> DataFrame:
@@ -112,24 +142,17 @@ def probe(runs: DataFrame, keys: DataFrame, m: int, k: int) -> DataFrame:
 
 
 def hit_miss(runs: DataFrame, keys: DataFrame, m: int, k: int) -> DataFrame:
-    """(hits, misses, hit_rate) of reads that go from the newest run on and stop where the key is: a skipped run is a hit, a searched one a miss.
+    """(hits, misses, hit_rate) of reads of keys (k) that go from the newest run on and stop where the key is: a skipped run is a hit, a searched one a miss.
 
-    No pair of key and run is listed: runs are counted by bits, from the newest down to the one that has the key.
+    No pair of key and run is listed: runs are counted by bits, from the newest down to the
+    one that has the key. Rows of runs (tid, k) may repeat, so a log does as well.
     """
-    part, own = _abreast(F.col("tid"))
-    there = runs.select("tid").distinct().groupBy(part.alias("part")).agg(F.bit_or(own).alias("all"))
-    newer = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)  # one row for 64 runs
-    there = there.select("part", "all", F.coalesce(F.sum(F.bit_count("all")).over(newer), F.lit(0)).alias("newer"))
-    from_ = F.expr(f"shiftleft(-1L, cast(at % {ABREAST} as int))")
-    newest = runs.select("k", "tid").join(keys.select("k"), "k").groupBy("k").agg(F.max("tid").alias("at")).withColumn("first", F.expr(f"at div {ABREAST}"))
-    held = newest.join(there, F.col("first") == F.col("part")).agg(F.count("*").alias("n"), F.sum(F.col("newer") + F.bit_count(F.col("all").bitwiseAND(from_))).alias("seen"))
-    let = passing(runs, keys, m, k).join(newest, "k", "left")
-    bits_ = F.when(F.col("at").isNull() | (F.col("part") > F.col("first")), F.col("let")).when(F.col("part") == F.col("first"), F.col("let").bitwiseAND(from_)).otherwise(0)
-    searched = let.agg(F.coalesce(F.sum(F.bit_count(bits_)), F.lit(0)).alias("misses"))
-    total = there.agg(F.coalesce(F.sum(F.bit_count("all")), F.lit(0)).alias("runs"))
-    names = ["misses", "n", "seen", "runs", "keys"]
-    parts = [t.select(*[F.col(c) if c in t.columns else F.lit(0).alias(c) for c in names]) for t in (searched, held, total, keys.agg(F.count("*").alias("keys")))]
-    rows = parts[0].union(parts[1]).union(parts[2]).union(parts[3]).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names])
-    hits = F.col("seen") + (F.col("keys") - F.col("n")) * F.col("runs") - F.col("misses")
-    rate = F.when(F.col("hits") + F.col("misses") > 0, F.round(F.col("hits").cast("double") / (F.col("hits") + F.col("misses")) * 100, 6)).otherwise(0.0)
-    return rows.select(hits.alias("hits"), "misses").select("hits", "misses", rate.alias("hit_rate"))
+    held = runs.where("k IS NOT NULL").select("k", F.col("tid").cast("long").alias("tid"), F.lit(0).cast("long").alias("n"))
+    asked = keys.select("k", F.lit(None).cast("long").alias("tid"), F.lit(1).cast("long").alias("n"))
+    newest = held.union(asked).groupBy("k").agg(F.max("tid").alias("at"), F.sum("n").alias("n")).where("n > 0")
+    first, from_ = _abreast("at")[0], F.expr(f"shiftleft(-1L, cast(pmod(at, {ABREAST}) as int))")
+    newer = F.when(F.col("at").isNull() | (F.col("part") > first), F.lit(-1).cast("long")).when(F.col("part") == first, from_).otherwise(F.lit(0).cast("long"))
+    counted = _tested(runs, newest, m, k).select("n", F.bit_count(F.col("there").bitwiseAND(newer)).alias("seen"), F.bit_count(F.col("let").bitwiseAND(newer)).alias("searched"))
+    total = counted.agg(*[F.coalesce(F.sum(F.col("n") * F.col(c)), F.lit(0).cast("long")).alias(c) for c in ("seen", "searched")])
+    rate = F.when(F.col("seen") > 0, F.round((F.col("seen") - F.col("searched")).cast("double") / F.col("seen") * 100, 6)).otherwise(0.0)
+    return total.select((F.col("seen") - F.col("searched")).alias("hits"), F.col("searched").alias("misses"), rate.alias("hit_rate"))

@@ -196,7 +196,7 @@ QUERIES = {
     "bloom_bits": lambda s, d: bloom.bits(_runs(s, d), M, K),
     "bloom_stats": lambda s, d: bloom.stats(bloom.bits(_runs(s, d), M, K), M, K),
     "bloom_probe": _probed,
-    "bloom_hit_miss": lambda s, d: bloom.hit_miss(_runs(s, d), _asked(s, d), M, K),
+    "bloom_hit_miss": lambda s, d: bloom.hit_miss(_log(s, d), _asked(s, d), M, K),
     "bloom_bytes": _filter_bytes,
     "bloom_bytes_read": _filter_reads,
     "wal_files": _logs,
